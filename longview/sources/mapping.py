@@ -82,7 +82,7 @@ class MappingStore:
 def mapped_runs(spark: SparkSession, root: str, file: str, dims: dict) -> DataFrame:
     """All files of one name below ``root`` in canonical form, tagged with their folder."""
     files = csvfiles.paths_of(spark, root, file)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]+$", 1)
+    folder = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"^(.*)/[^/]+$", 1)
     rel = F.element_at(F.split(folder, f"\\Q{root.rstrip('/')}\\E/?", 2), -1)
     rel = F.when(rel == "", F.lit(".")).otherwise(rel)
     raw = csvfiles.scan(spark, files, extra={"__run": rel})

@@ -56,7 +56,9 @@ def discover_scenarios(spark: SparkSession, paths: str, marker: str = MARKER) ->
 
 
 def _run_folder():
-    return F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)/{OUTPUT_DIR}/", 1)
+    # File paths arrive URL-encoded; a plus sign stands for itself.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_extract(path, rf"([^/]+)/{OUTPUT_DIR}/", 1)
 
 
 def read_source(spark: SparkSession, scenarios: list[Scenario], src: dict) -> DataFrame:
