@@ -89,7 +89,10 @@ def short_number(c) -> Column:
     c = col(c).cast("double")
     plain = F.regexp_replace(round_significant(c, 3).cast("string"), r"\.0$", "")
     wide = (F.abs(c) < 0.001) | (F.abs(c) >= 100000)
-    return F.when(wide, F.format_string("%.2E", c)).otherwise(plain)
+    # Ties go to the even digit, so the mantissa is rounded before it is printed.
+    power = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))))
+    even = F.when(c == 0, c).otherwise(F.bround(c / power, 2) * power)
+    return F.when(wide, F.format_string("%.2E", even)).otherwise(plain)
 
 
 def short_number_text(x: float) -> str:

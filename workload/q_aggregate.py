@@ -156,7 +156,7 @@ def _(spark, sf):
 
 
 @query("a20_axis_bounds", f"""
-SELECT min(year) - 0.4 AS x_min, max(year) + 0.4 AS x_max, {r('least(0.0, min(y))', 2)} AS y_min, {r('greatest(0.0, max(y))', 2)} AS y_max
+SELECT min(year) - CAST(0.4 AS DOUBLE) AS x_min, max(year) + CAST(0.4 AS DOUBLE) AS x_max, {r('least(0.0, min(y))', 2)} AS y_min, {r('greatest(0.0, max(y))', 2)} AS y_max
 FROM (SELECT year, tech, sum(a) AS y FROM {facts_sql('year', 'tech', 'a')} GROUP BY 1, 2)""")
 def _(spark, sf):
     d = agg.aggregate(facts(spark, sf, "year", "tech", "a"), ["year", "tech"], "sum(a)", "a")
