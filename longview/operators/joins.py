@@ -135,7 +135,7 @@ def complete_from_reference(df: DataFrame, ref_year: int, years, year: str = "ye
     """Append copies of the reference year's rows for each of ``years``."""
     kind = df.schema[year].dataType
     copies = (df.filter(F.col(year) == ref_year).drop(year)
-                .select("*", F.explode(F.array(*[F.lit(y) for y in years])).cast(kind).alias(year)))
+                .select("*", F.explode(F.array(*[F.lit(y).cast(kind) for y in years])).alias(year)))
     return df.filter(~F.col(year).isin(list(years))).unionByName(copies.select(*df.columns))
 
 

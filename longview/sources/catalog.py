@@ -49,14 +49,9 @@ def build_catalog(spark: SparkSession, root: str, grains=aggregate.GRAINS, scale
     as a prefix instead of overwriting each other.
     """
     tables: dict[str, list[str]] = {}
-    for path in csvfiles.paths_of(spark, root):
-        name = path.rsplit("/", 1)[1]
-        folder = path.rsplit("/", 2)[1]
-        if name == marker:
-            continue
-        # A table written by Spark is a folder of part files named like the table.
-        table = folder if folder.endswith(".csv") else name
-        if table not in tables:
+    for path in csvfiles.tables_of(spark, root):
+        table = path.rsplit("/", 1)[1]
+        if table != marker and table not in tables:
             tables[table] = spark.read.option("header", True).csv(path).columns
     entries: dict[str, dict] = {}
     for table, columns in sorted(tables.items()):

@@ -29,6 +29,15 @@ def paths_of(spark: SparkSession, root: str, name: str = "*.csv", recursive: boo
         return []
 
 
+def tables_of(spark: SparkSession, root: str, name: str | None = None) -> list[str]:
+    """CSV tables below ``root``: plain files, or folders of part files named like one."""
+    found = set()
+    for path in paths_of(spark, root):
+        folder, file = path.rsplit("/", 1)
+        found.add(folder if folder.endswith(".csv") else path)
+    return sorted(p for p in found if name is None or p.rsplit("/", 1)[1] == name)
+
+
 def file_name(ext: str = "csv"):
     """Stem of the file a row came from."""
     return F.regexp_extract(F.col("_metadata.file_name"), rf"(.*)\.{ext}$", 1)
@@ -129,10 +138,9 @@ def parameter(table: DataFrame, key: str, name: str, value: str = "value", kind:
     return table.filter(F.col(key) == name).agg(F.max(F.col(value).try_cast(kind))).scalar()
 
 
-def unique_by_name(spark: SparkSession, root: str) -> DataFrame:
-    """One path per file name of a tree; the last path wins."""
-    named = list_files(spark, root).withColumn("name", F.substring_index("path", "/", -1))
-    return named.groupBy("name").agg(F.max("path").alias("path"))
+def unique_by_name(spark: SparkSession, root: str) -> dict[str, str]:
+    """One table per base name of a tree; the last path wins."""
+    return {p.rsplit("/", 1)[1]: p for p in tables_of(spark, root)}
 
 
 def promote_header(df: DataFrame, row: int, index: str) -> DataFrame:

@@ -80,12 +80,12 @@ class MappingStore:
 
 
 def mapped_runs(spark: SparkSession, root: str, file: str, dims: dict) -> DataFrame:
-    """All files of one name below ``root`` in canonical form, tagged with their folder."""
-    files = csvfiles.paths_of(spark, root, file)
-    folder = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"^(.*)/[^/]+$", 1)
-    rel = F.element_at(F.split(folder, f"\\Q{root.rstrip('/')}\\E/?", 2), -1)
-    rel = F.when(rel == "", F.lit(".")).otherwise(rel)
-    raw = csvfiles.scan(spark, files, extra={"__run": rel})
+    """All tables of one name below ``root`` in canonical form, tagged with their folder."""
+    files = csvfiles.tables_of(spark, root, file)
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    below = F.element_at(F.split(path, f"\\Q{root.rstrip('/')}\\E/", 2), -1)
+    folder = F.regexp_extract(below, rf"^(.*?)/?\Q{file}\E(/[^/]*)?$", 1)
+    raw = csvfiles.scan(spark, files, extra={"__run": F.when(folder == "", F.lit(".")).otherwise(folder)})
     mapped = apply_mapping(raw, {**dims, "Dim__run": "__run"})
     return mapped.withColumnRenamed("Dim__run", "scenario")
 
