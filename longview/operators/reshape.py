@@ -43,8 +43,8 @@ def pivot_first(df: DataFrame, index: list[str], column: str, value: str, values
 def melt(df: DataFrame, ids: list[str], values: list[str] | None, var: str, val: str) -> DataFrame:
     """Long table, one row per id and value column."""
     values = [c for c in df.columns if c not in ids] if values is None else values
-    same = df.select(*ids, *[F.col(f"`{c}`").cast("double").alias(c) for c in values])
-    return same.unpivot(list(ids), list(values), var, val)
+    same = df.select(*[F.col(f"`{c}`") for c in ids], *[F.col(f"`{c}`").cast("double").alias(c) for c in values])
+    return same.unpivot([F.col(f"`{c}`") for c in ids], [F.col(f"`{c}`") for c in values], var, val)
 
 
 def union_by_name(*frames: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,21 +50,31 @@ def apply_mapping(df: DataFrame, dims: dict) -> DataFrame:
 
 
 class MappingStore:
-    """Named mappings in a JSON file: ``{name: {original_file, dimensions}}``."""
+    """Named mappings as JSON: ``{name: {original_file, dimensions}}``.
 
-    def __init__(self, path: str):
-        self.path = path
+    With a session the text lives wherever Spark can write (shared storage of a
+    cluster); without one it is a plain file.
+    """
+
+    def __init__(self, path: str, spark: SparkSession | None = None):
+        self.path, self.spark = path, spark
 
     def load(self) -> dict:
         try:
+            if self.spark is not None:
+                return json.loads(self.spark.read.text(self.path, wholetext=True).first()[0])
             with open(self.path, encoding="utf-8") as f:
                 return json.load(f)
-        except FileNotFoundError:
+        except (FileNotFoundError, AnalysisException):
             return {}
 
     def _write(self, items: dict) -> None:
+        text = json.dumps(items, indent=4)
+        if self.spark is not None:
+            self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(self.path)
+            return
         with open(self.path, "w", encoding="utf-8") as f:
-            json.dump(items, f, indent=4)
+            f.write(text)
 
     def save(self, name: str, original_file: str, dims: dict) -> None:
         items = self.load()

@@ -323,22 +323,22 @@ def _yearly(spark, sf):
 def _cmp(name, op, col, base, sql):
     @query(name, sql)
     def run(spark, sf):
-        return rounded(compare(_yearly(spark, sf), op, col, base, "y"), 6, "y")
+        return rounded(compare(_yearly(spark, sf), op, col, base, "y"), 8, "y")
     return run
 
 
 _cmp("c1_difference_from_base", "Difference", "scenario", BASE,
-     f"SELECT scenario, tech, year, {r('y - ref', 6)} AS y FROM (SELECT *, {REF} AS ref FROM {Y}) WHERE scenario <> '{BASE}'")
+     f"SELECT scenario, tech, year, {r('y - ref', 8)} AS y FROM (SELECT *, {REF} AS ref FROM {Y}) WHERE scenario <> '{BASE}'")
 _cmp("c2_ratio_to_base", "Ratio", "scenario", BASE,
-     f"SELECT scenario, tech, year, {r('CASE WHEN ref = 0 THEN 0 ELSE y / ref END', 6)} AS y FROM (SELECT *, {REF} AS ref FROM {Y}) WHERE scenario <> '{BASE}'")
+     f"SELECT scenario, tech, year, {r('CASE WHEN ref = 0 THEN 0 ELSE y / ref END', 8)} AS y FROM (SELECT *, {REF} AS ref FROM {Y}) WHERE scenario <> '{BASE}'")
 _cmp("c3_difference_consecutive", "Difference", "year", "Consecutive",
-     f"SELECT scenario, tech, year, {r('y - ref', 6)} AS y FROM (SELECT *, lag(y) OVER (PARTITION BY scenario, tech ORDER BY year) AS ref FROM {Y}) WHERE ref IS NOT NULL")
+     f"SELECT scenario, tech, year, {r('y - ref', 8)} AS y FROM (SELECT *, lag(y) OVER (PARTITION BY scenario, tech ORDER BY year) AS ref FROM {Y}) WHERE ref IS NOT NULL")
 _cmp("c4_ratio_consecutive", "Ratio", "year", "Consecutive",
-     f"SELECT scenario, tech, year, {r('y / nullif(ref, 0)', 6)} AS y FROM (SELECT *, lag(y) OVER (PARTITION BY scenario, tech ORDER BY year) AS ref FROM {Y}) WHERE ref IS NOT NULL")
+     f"SELECT scenario, tech, year, {r('y / nullif(ref, 0)', 8)} AS y FROM (SELECT *, lag(y) OVER (PARTITION BY scenario, tech ORDER BY year) AS ref FROM {Y}) WHERE ref IS NOT NULL")
 _cmp("c5_difference_from_total", "Difference", "tech", "Total",
-     f"SELECT scenario, tech, year, {r('y - sum(y) OVER (PARTITION BY scenario, year)', 6)} AS y FROM {Y}")
+     f"SELECT scenario, tech, year, {r('y - sum(y) OVER (PARTITION BY scenario, year)', 8)} AS y FROM {Y}")
 _cmp("c6_share_of_total", "Ratio", "tech", "Total",
-     f"SELECT scenario, tech, year, {r('y / nullif(sum(y) OVER (PARTITION BY scenario, year), 0)', 6)} AS y FROM {Y}")
+     f"SELECT scenario, tech, year, {r('y / nullif(sum(y) OVER (PARTITION BY scenario, year), 0)', 8)} AS y FROM {Y}")
 
 
 @query("c7_cleanup_after_comparison", f"""

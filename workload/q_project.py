@@ -60,10 +60,10 @@ def _(spark, sf):
     return rounded(agg.sum_over(d, ["tech", "year"], drop_cols=["month", "flag", "absent"]), 2, "a", "b")
 
 
-@query("p7_scale_column", f"SELECT tech, year, {r('sum(a) * 1e-6')} AS a FROM {facts_sql('tech', 'year', 'a')} GROUP BY 1, 2")
+@query("p7_scale_column", f"SELECT tech, year, {r('sum(a) * 1e-6', 8)} AS a FROM {facts_sql('tech', 'year', 'a')} GROUP BY 1, 2")
 def _(spark, sf):
     d = agg.aggregate(facts(spark, sf, "tech", "year", "a"), ["tech", "year"], "sum(a)", "a")
-    return rounded(project.scale(d, "a", 1e-6), 4, "a")
+    return rounded(project.scale(d, "a", 1e-6), 8, "a")
 
 
 @query("p8_scale_filtered", f"SELECT tech, year, {r('''sum(a) * CASE WHEN tech IN ('PROMO', 'SMALL') THEN 1e-3 ELSE 1 END''', 2)} AS a FROM {facts_sql('tech', 'year', 'a')} GROUP BY 1, 2")

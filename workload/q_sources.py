@@ -231,8 +231,7 @@ def _(spark, sf):
 
 @query("m5_mapping_store", f"SELECT tech AS \"Dim1\", year, a AS l_extendedprice FROM {facts_sql('tech', 'year', 'a')}")
 def _(spark, sf):
-    import tempfile
-    store = mapping.MappingStore(tempfile.mktemp(suffix=".json"))
+    store = mapping.MappingStore(f"{scratch(spark)}/mappings.json", spark)
     store.save("gen", "raw.csv", {"Dim1": "p_type", "year": "Year", "val": "l_extendedprice"})
     store.save("other", "raw.csv", DIMS)
     store.delete("other")
@@ -241,9 +240,8 @@ def _(spark, sf):
 
 @query("m6_map_tree", f"SELECT scenario, tech AS \"Dim1\", year, month, day, hour, value AS \"Generation\" FROM {HOURLY}")
 def _(spark, sf):
-    import tempfile
     root = area(spark, sf)
-    store = mapping.MappingStore(tempfile.mktemp(suffix=".json"))
+    store = mapping.MappingStore(f"{scratch(spark)}/mappings.json", spark)
     store.save("gen", "raw.csv", {"Dim1": "category_name", "year": "year", "month": "month", "day": "day", "hour": "Hour", "val": "Generation"})
     out = f"{scratch(spark)}/runs"
     mapping.apply_all(spark, store, f"{root}/inputs", out)
@@ -349,11 +347,11 @@ def _(spark, sf):
 
 # ---- extension surface ---------------------------------------------------------------
 
-@query("x1_step_chain", f"SELECT tech, year, {r('sum(a) * 1e-6')} AS a FROM {facts_sql('tech', 'year', 'a')} GROUP BY 1, 2")
+@query("x1_step_chain", f"SELECT tech, year, {r('sum(a) * 1e-6', 8)} AS a FROM {facts_sql('tech', 'year', 'a')} GROUP BY 1, 2")
 def _(spark, sf):
     steps = [{"func": agg.sum_over, "args": {"group_cols": ["tech", "year"], "val_cols": ["a"]}},
              {"func": project.scale, "args": {"column": "a", "factor": 1e-6}}]
-    return rounded(scenarios.run_steps(facts(spark, sf, "tech", "year", "flag", "a"), steps), 4, "a")
+    return rounded(scenarios.run_steps(facts(spark, sf, "tech", "year", "flag", "a"), steps), 8, "a")
 
 
 @query("x2_several_inputs", f"SELECT tech, {r('sum(a) / (SELECT sum(c_acctbal) FROM customer)', 6)} AS a FROM {facts_sql('tech', 'a')} GROUP BY 1")
@@ -376,15 +374,15 @@ def _(spark, sf):
 
 @query("x6_report_with_differences", f"""
 WITH g AS (SELECT scenario, tech, year, sum(a) / 1e6 AS a FROM {facts_sql('scenario', 'tech', 'year', 'a')} GROUP BY 1, 2, 3)
-SELECT 'v_base' AS section, scenario, tech, year, {r('a')} AS a FROM g WHERE scenario = '1-URGENT'
-UNION ALL SELECT 'v_diff', g.scenario, g.tech, g.year, {r('g.a - coalesce(b.a, 0)')} FROM g LEFT JOIN g b ON b.scenario = '1-URGENT' AND b.tech = g.tech AND b.year = g.year WHERE g.scenario <> '1-URGENT'""")
+SELECT 'v_base' AS section, scenario, tech, year, {r('a', 8)} AS a FROM g WHERE scenario = '1-URGENT'
+UNION ALL SELECT 'v_diff', g.scenario, g.tech, g.year, {r('g.a - coalesce(b.a, 0)', 8)} FROM g LEFT JOIN g b ON b.scenario = '1-URGENT' AND b.tech = g.tech AND b.year = g.year WHERE g.scenario <> '1-URGENT'""")
 def _(spark, sf):
     d = facts(spark, sf, "scenario", "tech", "year", "a")
     preset = {"value": {"presets": {"lines": {"x": "year", "y": "a", "series": "tech", "explode": "scenario"}}}}
     sections = [{"name": "Value", "result": "value", "preset": "lines", "sheet_name": "v", "config": {"y_scale": 1e-6}}]
     done = report.run_report(spark, lambda name: d, sections, scratch(spark), "Base + Diff", "1-URGENT", preset, fmt="parquet")
     parts = [spark.read.parquet(x.path).withColumn("section", F.lit(x.path.rsplit("/", 1)[1].removesuffix(".parquet"))) for x in done]
-    return rounded(reshape.union_by_name(*parts), 4, "a")
+    return rounded(reshape.union_by_name(*parts), 8, "a")
 
 
 @query("x7_spec_validation", "SELECT 'base ' || p_type || ' of tech: ' || CASE WHEN p_type = 'PROMO' THEN 'unknown' ELSE 'fine' END AS outcome FROM (SELECT DISTINCT p_type FROM part)")
