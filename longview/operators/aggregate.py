@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from longview.functions import scalars as S
-from longview.operators.common import attach, numeric_columns
+from longview.operators.common import attach, group_count, numeric_columns
+from longview.operators.joins import expand_by
 from longview.operators.project import keep_for_grouping
 
 MAX_DOMAIN = 10_000
+MAX_PIVOT = 1_000
 BIG_GRID = 1_000_000
 
 # Names of the view aggregations.
@@ -130,7 +132,8 @@ def histogram(df: DataFrame, y: str, bins: int, by: list[str] | None = None, wei
     if shared_edges or not by:
         rows = attach(rows, [], rows.agg(*edges), ["__lo", "__hi"])
     else:
-        rows = attach(rows, by, rows.groupBy(*by).agg(*edges), ["__lo", "__hi"])
+        # Raw rows: the group count is checked so that they need not be shuffled.
+        rows = attach(rows, by, rows.groupBy(*by).agg(*edges), ["__lo", "__hi"], group_count(rows, by))
     flat = F.col("__lo") == F.col("__hi")
     half = F.when(flat, F.lit(0.5)).otherwise(F.lit(0.0))
     rows = (rows.withColumn("__l", F.col("__lo") - half).withColumn("__h", F.col("__hi") + half)
@@ -199,8 +202,14 @@ def argmax_rows(df: DataFrame, by: list[str], measure: str) -> DataFrame:
 def complete_categories(df: DataFrame, by: list[str], category: str, value: str) -> DataFrame:
     """Every category for every observed key; mean of duplicates, zero where missing.
 
-    The categories become one pivot column each and are folded back into rows.
+    A moderate number of categories becomes one pivot column each, folded back into
+    rows: a single shuffle.  More of them are laid out as rows and joined.
     """
-    names = [r[0] for r in df.select(category).distinct().orderBy(category).limit(MAX_DOMAIN).collect()]
-    wide = df.groupBy(*by).pivot(category, names).agg(F.avg(value))
-    return wide.unpivot(list(by), names, category, value).fillna(0, subset=[value])
+    kinds = df.select(category).filter(F.col(category).isNotNull()).distinct()
+    names = sorted(r[0] for r in kinds.limit(MAX_PIVOT + 1).collect())
+    if len(names) <= MAX_PIVOT:
+        wide = df.groupBy(*by).pivot(category, names).agg(F.avg(value))
+        return wide.unpivot(list(by), names, category, value).fillna(0, subset=[value])
+    mean = df.groupBy(*by, category).agg(F.avg(value).alias(value))
+    full = expand_by(mean.select(*by).distinct(), kinds)
+    return full.join(mean, [*by, category], "left").fillna(0, subset=[value])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,25 +24,28 @@ def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality on all keys; still a hash-joinable equi-join."""
-    cond = F.lit(True)
-    for i, k in enumerate(keys):
-        one = a[k].eqNullSafe(b[k])
-        cond = one if i == 0 else cond & one
-    return cond
+# A per-group table of at most this many rows is broadcast.
+MAX_BROADCAST_GROUPS = 200_000
 
 
-def attach(df: DataFrame, by: list[str], totals: DataFrame, values: list[str]) -> DataFrame:
+def group_count(df: DataFrame, by: list[str]) -> int:
+    """Estimated number of groups: one sketch job over the key columns only."""
+    return df.agg(F.approx_count_distinct(F.struct(*by))).first()[0]
+
+
+def attach(df: DataFrame, by: list[str], totals: DataFrame, values: list[str], groups: int | None = None) -> DataFrame:
     """Put per-group ``values`` of ``totals`` beside every row of ``df``.
 
-    With keys this is an equi-join of the rows with one row per group; Spark
-    broadcasts the small side by its measured size and splits hot keys of the
-    large side otherwise.  Without keys the single row arrives as scalars.
+    ``groups`` is a checked bound on the rows of ``totals``: up to
+    ``MAX_BROADCAST_GROUPS`` the rows of ``df`` are not shuffled at all.  Otherwise it
+    is a plain equi-join whose hot keys adaptive execution splits.  Without keys
+    the single row arrives as scalars.
     """
     if not by:
         return df.select("*", *[totals.select(v).scalar().alias(v) for v in values])
     right = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(by)], *values)
+    if groups is not None and groups <= MAX_BROADCAST_GROUPS:
+        right = F.broadcast(right)
     cond = None
     for i, k in enumerate(by):
         one = F.col(k).eqNullSafe(F.col(f"__k{i}"))

@@ -28,6 +28,12 @@ MAX_SLICES = 10_000
 class Slices:
     """Cut points (in the numeric image of the order column) shared by all groups."""
     bounds: tuple[float, ...] = ()
+    groups: int | None = None
+
+    @property
+    def summary_rows(self) -> int | None:
+        """Bound on the rows of a per-slice summary, if the groups were counted."""
+        return None if self.groups is None else self.groups * (len(self.bounds) + 1)
 
     def assign(self, df: DataFrame, order: str) -> DataFrame:
         if not self.bounds:
@@ -54,25 +60,35 @@ def position(df: DataFrame, column: str) -> Column:
     raise TypeError(f"cannot order slices by {kind.simpleString()}")
 
 
-def plan_slices(df: DataFrame, order: str, rows_per_slice: int = ROWS_PER_SLICE) -> Slices:
+def plan_slices(df: DataFrame, order: str, by: list[str] | None = None,
+                rows_per_slice: int = ROWS_PER_SLICE) -> Slices:
     """Choose cut points so that no slice holds much more than ``rows_per_slice`` rows.
 
-    One aggregate job over the order column.  Small inputs get a single slice.
+    Small inputs get a single slice after one counting job.  Larger ones take one
+    sketch job over the order column; ``by`` adds an estimate of the number of groups
+    to it, so that a small summary can be broadcast.
     """
-    at = df.select(position(df, order).alias(_POS))
-    n = at.agg(F.count(F.lit(1))).first()[0]
+    n = df.count()
     parts = min(MAX_SLICES, -(-n // rows_per_slice))
     if parts <= 1:
         return Slices()
+    at = df.select(position(df, order).alias(_POS), *([F.struct(*by).alias("__g")] if by else []))
     probs = [i / parts for i in range(1, parts)]
-    cuts = at.agg(F.percentile_approx(_POS, probs, MAX_SLICES)).first()[0] or []
-    return Slices(tuple(sorted({c for c in cuts if c == c and abs(c) != float("inf")})))
+    count = [F.approx_count_distinct("__g")] if by else []
+    row = at.agg(F.percentile_approx(_POS, probs, MAX_SLICES), *count).first()
+    cuts = sorted({c for c in row[0] or [] if c == c and abs(c) != float("inf")})
+    return Slices(tuple(cuts), row[1] if by else 1 if by == [] else None)
 
 
 def _window(by: list[str], order: list[str]) -> Window:
     return Window.partitionBy(*by, SLICE).orderBy(*order)
 
 
+def _plain(by: list[str], order: list[str]) -> Window:
+    """The window of a table small enough for one slice."""
+    return (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(*order)
+
+
 def _per_slice(df: DataFrame, by: list[str], aggs: list[Column], carried: dict[str, Column]) -> DataFrame:
     """One row per (group, slice) with the state arriving from earlier slices."""
     w = Window.partitionBy(*by).orderBy(SLICE) if by else Window.partitionBy(F.lit(0)).orderBy(SLICE)
@@ -87,22 +103,26 @@ _BEFORE = (Window.unboundedPreceding, -1)
 def number_rows(df: DataFrame, by: list[str], order: list[str], out: str,
                 slices: Slices | None = None) -> DataFrame:
     """1-based row number inside each group."""
-    slices = plan_slices(df, order[0]) if slices is None else slices
+    slices = plan_slices(df, order[0], by) if slices is None else slices
+    if not slices.bounds:
+        return df.withColumn(out, F.row_number().over(_plain(by, order)).cast("long"))
     cut = slices.assign(df, order[0])
     carry = _per_slice(cut, by, [F.count(F.lit(1)).alias("__n")], {"__before": ("sum(__n)", _BEFORE)})
     local = cut.withColumn(out, F.row_number().over(_window(by, order)).cast("long"))
-    both = attach(local, [*by, SLICE], carry, ["__before"])
+    both = attach(local, [*by, SLICE], carry, ["__before"], slices.summary_rows)
     return both.withColumn(out, F.col(out) + F.coalesce("__before", F.lit(0))).drop(SLICE, "__before")
 
 
 def running_sum(df: DataFrame, y: str, by: list[str], order: list[str], out: str,
                 slices: Slices | None = None) -> DataFrame:
     """Sum of ``y`` over the group's rows up to and including the current one."""
-    slices = plan_slices(df, order[0]) if slices is None else slices
+    slices = plan_slices(df, order[0], by) if slices is None else slices
+    if not slices.bounds:
+        return df.withColumn(out, F.sum(y).over(_plain(by, order).rowsBetween(Window.unboundedPreceding, 0)))
     cut = slices.assign(df, order[0])
     carry = _per_slice(cut, by, [F.sum(y).alias("__s")], {"__before": ("sum(__s)", _BEFORE)})
     w = _window(by, order).rowsBetween(Window.unboundedPreceding, 0)
-    both = attach(cut.withColumn(out, F.sum(y).over(w)), [*by, SLICE], carry, ["__before"])
+    both = attach(cut.withColumn(out, F.sum(y).over(w)), [*by, SLICE], carry, ["__before"], slices.summary_rows)
     total = F.when(F.col(out).isNull(), F.col("__before")).otherwise(
         F.col(out) + F.coalesce(F.col("__before"), F.lit(0)))
     return both.withColumn(out, total).drop(SLICE, "__before")
@@ -111,14 +131,16 @@ def running_sum(df: DataFrame, y: str, by: list[str], order: list[str], out: str
 def previous_value(df: DataFrame, y: str, by: list[str], order: list[str], out: str,
                    slices: Slices | None = None) -> DataFrame:
     """``y`` of the preceding row of the group."""
-    slices = plan_slices(df, order[0]) if slices is None else slices
+    slices = plan_slices(df, order[0], by) if slices is None else slices
+    if not slices.bounds:
+        return df.withColumn(out, F.lag(y).over(_plain(by, order)))
     cut = slices.assign(df, order[0])
     last_row = F.max_by(F.struct(y), F.struct(*order)).alias("__last")
     carry = _per_slice(cut, by, [last_row], {"__prev": ("last(__last)", (-1, -1))})
     w = _window(by, order)
     local = (cut.withColumn(out, F.lag(y).over(w))
                 .withColumn("__first", F.row_number().over(w) == 1))
-    both = attach(local, [*by, SLICE], carry, ["__prev"])
+    both = attach(local, [*by, SLICE], carry, ["__prev"], slices.summary_rows)
     return (both.withColumn(out, F.when(F.col("__first"), F.col("__prev").getField(y)).otherwise(F.col(out)))
                 .drop(SLICE, "__first", "__prev"))
 
@@ -126,13 +148,16 @@ def previous_value(df: DataFrame, y: str, by: list[str], order: list[str], out:
 def fill_forward(df: DataFrame, y: str, by: list[str], order: list[str], out: str,
                  slices: Slices | None = None) -> DataFrame:
     """The latest known ``y`` at or before each row of the group."""
-    slices = plan_slices(df, order[0]) if slices is None else slices
+    slices = plan_slices(df, order[0], by) if slices is None else slices
+    if not slices.bounds:
+        w = _plain(by, order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.last(y, True).over(w))
     cut = slices.assign(df, order[0])
     known = F.max_by(F.when(F.col(y).isNotNull(), F.struct(y)),
                      F.when(F.col(y).isNotNull(), F.struct(*order))).alias("__known")
     carry = _per_slice(cut, by, [known], {"__prev": ("last(__known, true)", _BEFORE)})
     w = _window(by, order).rowsBetween(Window.unboundedPreceding, 0)
-    both = attach(cut.withColumn(out, F.last(y, True).over(w)), [*by, SLICE], carry, ["__prev"])
+    both = attach(cut.withColumn(out, F.last(y, True).over(w)), [*by, SLICE], carry, ["__prev"], slices.summary_rows)
     return (both.withColumn(out, F.coalesce(F.col(out), F.col("__prev").getField(y)))
                 .drop(SLICE, "__prev"))
 
@@ -145,28 +170,38 @@ def values_at_ranks(df: DataFrame, y: str, by: list[str], ranks: dict, slices: S
     values travel as one counted row; only slices that hold a wanted rank are
     sorted, so a group is never gathered in one place.
     """
-    slices = plan_slices(df, y) if slices is None else slices
+    slices = plan_slices(df, y, by) if slices is None else slices
     cut = slices.assign(df.select(*by, y).filter(F.col(y).isNotNull()), y)
     if distinct:
         counted = cut.groupBy(*by, SLICE, y).agg(F.lit(1).alias("__c"))
     else:
         counted = cut.groupBy(*by, SLICE, y).agg(F.count(F.lit(1)).alias("__c"))
-    sizes = counted.groupBy(*by, SLICE).agg(F.sum("__c").alias("__n"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    if not slices.bounds:
+        w = group.orderBy(y).rowsBetween(Window.unboundedPreceding, 0)
+        placed = (counted.withColumn("n", F.sum("__c").over(group)).withColumn("__hi", F.sum("__c").over(w))
+                         .withColumn("__lo", F.col("__hi") - F.col("__c")))
+    else:
+        placed = _near_ranks(counted, y, by, ranks, group, slices.summary_rows)
+    picks = [F.max(F.when((f(F.col("n")) >= F.col("__lo")) & (f(F.col("n")) < F.col("__hi")), F.col(y))).alias(k)
+             for k, f in ranks.items()]
+    return placed.groupBy(*by).agg(F.max("n").alias("n"), *picks)
+
+
+def _near_ranks(counted: DataFrame, y: str, by: list[str], ranks: dict, group: Window,
+                spans_rows: int | None) -> DataFrame:
+    """Counted values of the slices that hold a wanted rank, with their rank range."""
+    sizes = counted.groupBy(*by, SLICE).agg(F.sum("__c").alias("__n"))
     spans = (sizes.withColumn("n", F.sum("__n").over(group))
                   .withColumn("__before", F.coalesce(
                       F.sum("__n").over(group.orderBy(SLICE).rowsBetween(*_BEFORE)), F.lit(0))))
     holds = F.lit(False)
     for f in ranks.values():
         holds = holds | ((f(F.col("n")) >= F.col("__before")) & (f(F.col("n")) < F.col("__before") + F.col("__n")))
-    wanted = spans.filter(holds)
-    rows = attach(counted, [*by, SLICE], wanted, ["n", "__before"]).filter(F.col("n").isNotNull())
+    rows = attach(counted, [*by, SLICE], spans.filter(holds), ["n", "__before"], spans_rows).filter(F.col("n").isNotNull())
     w = _window(by, [y]).rowsBetween(Window.unboundedPreceding, 0)
-    placed = (rows.withColumn("__hi", F.sum("__c").over(w) + F.col("__before"))
-                  .withColumn("__lo", F.col("__hi") - F.col("__c")))
-    picks = [F.max(F.when((f(F.col("n")) >= F.col("__lo")) & (f(F.col("n")) < F.col("__hi")), F.col(y))).alias(k)
-             for k, f in ranks.items()]
-    return placed.groupBy(*by).agg(F.max("n").alias("n"), *picks)
+    return (rows.withColumn("__hi", F.sum("__c").over(w) + F.col("__before"))
+                .withColumn("__lo", F.col("__hi") - F.col("__c")))
 
 
 def quantiles(df: DataFrame, y: str, by: list[str], probs: dict[str, float],

@@ -9,6 +9,7 @@ from longview.functions import scalars as S
 from longview.operators import ordered
 
 MAX_BROADCAST_SERIES = 10_000
+MAX_STYLE_ROWS = 10_000
 
 # Labels of the 17 standard time slices.
 TIMESLICE_LABELS = {
@@ -78,16 +79,24 @@ def sort_rows(df: DataFrame, keys: list[str], orders: dict[str, list] | None = N
     return out.withColumns({k: S.strip_leading_zeros(k) for k in plain}) if plain else out
 
 
+def _short_table(df: DataFrame) -> list:
+    """All rows of a table that is written by hand; anything longer is an error."""
+    rows = df.limit(MAX_STYLE_ROWS + 1).collect()
+    if len(rows) > MAX_STYLE_ROWS:
+        raise ValueError(f"style table has more than {MAX_STYLE_ROWS} rows")
+    return rows
+
+
 def style_orders(style: DataFrame) -> tuple[list, dict]:
     """Order list and colours of a style table ``order, color`` (a short file)."""
-    rows = style.limit(MAX_BROADCAST_SERIES).collect()
+    rows = _short_table(style)
     has_color = "color" in style.columns
     return [r["order"] for r in rows], {r["order"]: r["color"] for r in rows} if has_color else {}
 
 
 def custom_styles(styles: DataFrame) -> tuple[dict, dict]:
     """Orders and colours per column of a ragged style sheet; blanks are skipped."""
-    rows = styles.limit(MAX_BROADCAST_SERIES).collect()
+    rows = _short_table(styles)
     orders, colors = {}, {}
     for c in styles.columns:
         if c.endswith("_custom_colors"):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from longview.functions import scalars as S
 from longview.operators import ordered
-from longview.operators.common import attach
+from longview.operators.common import attach, group_count
 
 
 def _over(by, order):
@@ -71,14 +71,19 @@ def interpolate(df: DataFrame, y: str, by: list[str], order: str, out: str | Non
     return d.withColumn(out or y, value).drop("__i", "__a", "__b")
 
 
-def group_total(df: DataFrame, y: str, by: list[str], out: str) -> DataFrame:
-    """The group's sum beside every row, through a partial aggregate and an equi-join."""
-    return attach(df, by, df.groupBy(*by).agg(F.sum(y).alias(out)), [out])
+def group_total(df: DataFrame, y: str, by: list[str], out: str, raw: bool = False) -> DataFrame:
+    """The group's sum beside every row, through a partial aggregate and an equi-join.
+
+    ``raw=True`` is for unaggregated rows: it spends one sketch job on the number of
+    groups, so that a small set of totals reaches the rows without shuffling them.
+    """
+    groups = group_count(df, by) if raw and by else None
+    return attach(df, by, df.groupBy(*by).agg(F.sum(y).alias(out)), [out], groups)
 
 
-def share(df: DataFrame, y: str, by: list[str], out: str = "share") -> DataFrame:
+def share(df: DataFrame, y: str, by: list[str], out: str = "share", raw: bool = False) -> DataFrame:
     """Each row's share of its group's sum."""
-    return group_total(df, y, by, "__total").withColumn(out, S.ratio(y, "__total")).drop("__total")
+    return group_total(df, y, by, "__total", raw).withColumn(out, S.ratio(y, "__total")).drop("__total")
 
 
 def complete_years(df: DataFrame, by: list[str], first, last, year: str = "year") -> DataFrame:

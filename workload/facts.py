@@ -104,3 +104,14 @@ def scratch(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="longview-")
     return f"{base.rstrip('/')}/longview-{uuid.uuid4().hex}"
+
+
+def materialise(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Write an intermediate table once to the shared folder and read it from there.
+
+    Cuts the lineage and survives the loss of executors; used where several inputs
+    of one query come from the same pass over the facts.
+    """
+    path = scratch(spark)
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from longview.functions import scalars as S
 from longview.operators import joins, project, reshape
 from longview.plans.demand import devices, hourly, retail
-from workload.facts import events, events_sql, facts, facts_sql, table
+from workload.facts import events, events_sql, facts, facts_sql, materialise, table
 from workload.registry import query, r, rounded
 
 # Geography: area = nation, state = market segment of the customer, division = region.
@@ -143,14 +143,14 @@ def _(spark, sf):
  LEFT JOIN pk ON pk.ba = a.ba AND pk.year = y.year AND pk.hour = tm.hour)
 SELECT * FROM m UNION ALL SELECT ba, CAST(y AS INTEGER), hour, slice FROM m CROSS JOIN (VALUES (1996), (1997)) v(y) WHERE year = 1998""")
 def _(spark, sf):
-    p, tm = rounded(_profile(spark, sf), 9, "value"), _time_map(spark, sf)
+    p, tm = materialise(spark, rounded(_profile(spark, sf), 9, "value")), _time_map(spark, sf)
     return hourly.time_map_by_area(tm, p, hourly.peak_hours(p, tm), [1998, 1999], 1998, [1996, 1997])
 
 
 @query("r9_slice_energy", f"""{BASE}, {PEAK} SELECT concat('p', pr.ba) AS ba, pr.year, CASE WHEN pk.ba IS NOT NULL THEN 'H17' ELSE slice END AS slice, {r('sum(value) * 0.29329722222222')} AS value
 FROM pr JOIN tm USING (hour) LEFT JOIN pk ON pk.ba = pr.ba AND pk.year = pr.year AND pk.hour = pr.hour GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    p, tm = rounded(_profile(spark, sf), 9, "value"), _time_map(spark, sf)
+    p, tm = materialise(spark, rounded(_profile(spark, sf), 9, "value")), _time_map(spark, sf)
     d = hourly.relabel_peak(joins.natural_join(p, tm), hourly.peak_hours(p, tm))
     return rounded(hourly.slice_energy(d), 4, "value")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from longview.functions import scalars as S
 from longview.plans.domain import costs, operation, regions, value
 from longview.plans.domain.money import Money
-from workload.facts import facts, facts_sql, table
+from workload.facts import facts, facts_sql, materialise, table
 from workload.registry import query, r, rounded
 
 DEFL = 0.697349107
@@ -54,12 +54,23 @@ RENAME = {"cost": costs.COST, "usd": "$", "mwh": "MWh", "mwh_uncurt": "MWh uncur
 DUCK = {"sc": "cost", "vs": "usd"}
 
 
+NEED = {"sc": "tech segment year", "types": "tech", "crf": "year", "pvf_cap": "year", "pvf_onm": "year",
+        "q": "tech status segment month year", "p": "tech status flag segment month year",
+        "vs": "tech status segment year flag month", "gen": "tech status segment year", "uncurt": "tech status segment year",
+        "load": "segment year", "cap": "tech status brand year", "rmap": "brand", "hours": "month"}
+
+
 def inputs(spark, sf, *names):
-    """The derived tables, each one aggregation over the facts."""
-    f = facts(spark, sf, *LINE)
+    """The derived tables, all from one roll-up of the facts to the keys they need."""
+    keys = sorted({k for n in names for k in NEED[n].split()})
+    f = facts(spark, sf, *keys, "a", "b", "c").groupBy(*keys).agg(
+        F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.col("b") * F.col("c")).alias("bc"))
+    if len(names) > 1:
+        f = materialise(spark, f)
     out = []
     for n in names:
-        d = spark.sql(f"WITH f AS (SELECT * FROM {{f}}) {T[n].replace('CAST(substring(brand, 7) AS INTEGER)', 'CAST(substring(brand, 7) AS INT)')}", f=f)
+        text = T[n].replace("AS INTEGER", "AS INT").replace("b * c", "bc")
+        d = spark.sql(f"WITH f AS (SELECT * FROM {{f}}) {text}", f=f)
         fixed = {c: F.col(c).cast("double") for c, k in d.dtypes if k.startswith("decimal")}
         d = d.withColumns(fixed) if fixed else d
         out.append(d.withColumnsRenamed({a: b for a, b in RENAME.items() if a in d.columns}))
@@ -306,8 +317,10 @@ STREAM_SQL = f"""rows AS (SELECT tech, vintage, rb, vs.year, var_name, con_name,
  UNION ALL SELECT tech, vintage, rb, year, 'kW', 'kW', mw * 1000 FROM {CAP_RB})"""
 
 
-def _streams(spark, sf):
-    vs, gen, cap, pc, po, rmap = inputs(spark, sf, "vs", "gen", "cap", "pvf_cap", "pvf_onm", "rmap")
+STREAM_INPUTS = ("vs", "gen", "cap", "pvf_cap", "pvf_onm", "rmap")
+
+
+def _streams(vs, gen, cap, pc, po, rmap):
     return value.value_streams(vs, gen, cap, pc, po, 100.0, rmap)
 
 
@@ -315,7 +328,7 @@ def _streams(spark, sf):
 SELECT tech, vintage, rb, year, var_name, con_name, {r('v', 5)} AS "Bulk $", {r('v / power(1.05, year - 2022)', 2)} AS "Bulk $ Dis", tech || ', ' || vintage AS "tech, vintage", var_name || ', ' || con_name AS "var, con",
 CASE WHEN con_name IN ('eq_objfn_inv', 'eq_objfn_op') THEN var_name || ', ' || con_name ELSE con_name END AS con_adj FROM rows""").replace(")\n,", "),\n"))
 def _(spark, sf):
-    return rounded(rounded(_streams(spark, sf), 5, "Bulk $"), 2, "Bulk $ Dis")
+    return rounded(rounded(_streams(*inputs(spark, sf, *STREAM_INPUTS)), 5, "Bulk $"), 2, "Bulk $ Dis")
 
 
 @query("d14_uncurtailed_generation", sql("gen uncurt", """SELECT tech, vintage, rb, year, mwh AS "MWh" FROM gen WHERE tech NOT IN (SELECT tech FROM uncurt)
@@ -380,8 +393,8 @@ t AS (SELECT tech, vintage, rb, year, -sum(CASE WHEN con_name IN ({_names(value.
 SELECT tech, vintage, rb, t.year, {r('cost / mwh')} AS "LCOE", {r('val / mwh')} AS "LVOE", {r('val / mwh - cost / mwh')} AS "NVOE", {r('val / cost')} AS "BCR", {r('pb * cost / val')} AS "PLCOE", {r('val / mwh / pb')} AS "value factor",
 {r('pb - val / mwh')} AS "integration cost", {r('cost / mwh + pb - val / mwh')} AS "SLCOE" FROM t JOIN b ON b.year = t.year WHERE cost IS NOT NULL""").replace(")\n,", "),\n"))
 def _(spark, sf):
-    q, p = inputs(spark, sf, "q", "p")
-    d = value.competitiveness(_streams(spark, sf), value.requirement_prices(q, p))
+    *streams, q, p = inputs(spark, sf, *STREAM_INPUTS, "q", "p")
+    d = value.competitiveness(_streams(*streams), value.requirement_prices(q, p))
     d = d.drop("Cost $", "MWh", "Value $", "P_b")
     return rounded(d, 4, *[c for c in d.columns if c not in value.INDEX])
 

@@ -37,13 +37,13 @@ def _(spark, sf):
 @query("w1_lag_any_size", "SELECT event_id, value, lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS prev FROM events")
 def _(spark, sf):
     d = table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
-    return windows.lag_by(d, "value", ["event_type"], ["ts", "event_id"], "prev", ordered.plan_slices(d, "ts")).select("event_id", "value", "prev")
+    return windows.lag_by(d, "value", ["event_type"], ["ts", "event_id"], "prev", ordered.plan_slices(d, "ts", ["event_type"])).select("event_id", "value", "prev")
 
 
 @query("w2_partition_total", "SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_returnflag) AS total FROM lineitem")
 def _(spark, sf):
     d = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
-    return windows.group_total(d, "l_quantity", ["l_returnflag"], "total").select("l_orderkey", "l_linenumber", "total")
+    return windows.group_total(d, "l_quantity", ["l_returnflag"], "total", raw=True).select("l_orderkey", "l_linenumber", "total")
 
 
 @query("w3_running_sum", f"SELECT brand, year, y, sum(y) OVER (PARTITION BY brand ORDER BY year) AS cum FROM {YB}")
@@ -54,7 +54,7 @@ def _(spark, sf):
 @query("w3_running_sum_any_size", f"SELECT event_id, {r('sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)', 2)} AS cum FROM events")
 def _(spark, sf):
     d = table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
-    d = windows.running_sum(d, "value", ["event_type"], ["ts", "event_id"], "cum", ordered.plan_slices(d, "ts"))
+    d = windows.running_sum(d, "value", ["event_type"], ["ts", "event_id"], "cum", ordered.plan_slices(d, "ts", ["event_type"]))
     return rounded(d.select("event_id", "cum"), 2, "cum")
 
 
@@ -79,7 +79,7 @@ def _(spark, sf):
 SELECT event_id, last_value(CASE WHEN value > 200 THEN value END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS high FROM events""")
 def _(spark, sf):
     d = table(spark, sf, "events").select("event_id", "event_type", "ts", F.when(F.col("value") > 200, F.col("value")).alias("high"))
-    return windows.ffill(d, "high", ["event_type"], ["ts", "event_id"], slices=ordered.plan_slices(d, "ts")).select("event_id", "high")
+    return windows.ffill(d, "high", ["event_type"], ["ts", "event_id"], slices=ordered.plan_slices(d, "ts", ["event_type"])).select("event_id", "high")
 
 
 @query("w6_backward_fill", f"SELECT brand, year, first_value(y IGNORE NULLS) OVER (PARTITION BY brand ORDER BY year ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS y FROM {GAPS}")
@@ -137,7 +137,7 @@ def _(spark, sf):
 @query("w13_share_of_partition", f"SELECT l_orderkey, l_linenumber, {r('l_quantity / sum(l_quantity) OVER (PARTITION BY l_suppkey)', 8)} AS share FROM lineitem")
 def _(spark, sf):
     d = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
-    return rounded(windows.share(d, "l_quantity", ["l_suppkey"]).select("l_orderkey", "l_linenumber", "share"), 8, "share")
+    return rounded(windows.share(d, "l_quantity", ["l_suppkey"], raw=True).select("l_orderkey", "l_linenumber", "share"), 8, "share")
 
 
 # ---- ordering and binning ------------------------------------------------------------
