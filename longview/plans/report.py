@@ -91,6 +91,8 @@ def run_report(spark, source, sections: list[dict], out: str, mode: str = "No",
     plan = expand_report(sections, mode, base)
     loaded: dict[str | None, DataFrame] = {}
     done = []
+    # Written first: a folder that is already there fails before any section runs.
+    sinks.write_table(sinks.build_info(spark, sources or [], defaults or {}, now), f"{target}/meta.{fmt}", fmt)
     for i, section in enumerate(plan, start=1):
         name = section.get("sheet_name", f"{i}_{section['name']}")
         path = f"{target}/{sinks.safe_name(name)}.{fmt}"
@@ -108,7 +110,6 @@ def run_report(spark, source, sections: list[dict], out: str, mode: str = "No",
         except Exception as e:  # a broken section must not stop the others
             log.warning("section %s failed: %s", section.get("name"), e)
             done.append(SectionResult(section.get("name", str(i)), None, str(e)))
-    sinks.write_table(sinks.build_info(spark, sources or [], defaults or {}, now), f"{target}/meta.{fmt}", fmt)
     if len(plan) > 1:
         for df in loaded.values():
             df.unpersist()
