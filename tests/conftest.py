@@ -12,7 +12,10 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from longview.session import local_session
-    s = local_session("tests", 8, "6g")
+    s = local_session("tests", 4, "6g")
+    # Tiny tables: fewer partitions and no generated code make the suite several times faster.
+    s.conf.set("spark.sql.shuffle.partitions", "2")
+    s.conf.set("spark.sql.codegen.wholeStage", "false")
     yield s
     s.stop()
 

@@ -112,10 +112,10 @@ _Q = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
 
 @query("a16_boxplot", f"""
 WITH q AS (SELECT event_type, {', '.join(f'quantile_cont(value, {p}) AS {n}' for n, p in _Q.items())} FROM events GROUP BY 1)
-SELECT event_type, {', '.join(f'{r(n)} AS {n}' for n in _Q)}, {r('q75 - q25')} AS iqr, {r('(q25 + q75) / 2', 3)} AS box_center FROM q""")
+SELECT event_type, {', '.join(f'{r(n)} AS {n}' for n in _Q)}, {r('q75 - q25')} AS iqr, {r('(q25 + q75) / 2', 6)} AS box_center FROM q""")
 def _(spark, sf):
     d = prep.boxplot_stats(table(spark, sf, "events"), ["event_type"], "value")
-    return rounded(rounded(d, 4, *_Q, "iqr"), 3, "box_center")
+    return rounded(rounded(d, 4, *_Q, "iqr"), 6, "box_center")
 
 
 @query("a17_between_series_range", f"""

@@ -599,12 +599,12 @@ def _health(spark, sf):
 
 
 @query("d32_health_damage", f"""WITH {HEALTH}
-SELECT model, cr, e, year, {r('t', 3)} AS "Emissions (thousand tonnes)", {r('d', 6)} AS "Health damages (billion $)", {r('l', 2)} AS "Health damages (lives)", {r('dd', 6)} AS "Discounted health damages (billion $)",
+SELECT model, cr, e, year, {r('t', 5)} AS "Emissions (thousand tonnes)", {r('d', 6)} AS "Health damages (billion $)", {r('l', 2)} AS "Health damages (lives)", {r('dd', 6)} AS "Discounted health damages (billion $)",
 {r('sum(d) OVER w', 6)} AS "Total health damages (billion $)", {r('sum(l) OVER w', 2)} AS "Total health damages (lives)", {r('sum(dd) OVER w', 6)} AS "Total discounted health damages (billion $)" FROM one WINDOW w AS (PARTITION BY model, cr, year)""")
 def _(spark, sf):
     d = _health(spark, sf)
     d = rounded(d, 6, *[c for c in d.columns if "billion" in c])
-    return rounded(rounded(d, 2, *[c for c in d.columns if "lives" in c]), 3, operation.TONNES)
+    return rounded(rounded(d, 2, *[c for c in d.columns if "lives" in c]), 5, operation.TONNES)
 
 
 @query("d33_social_cost", sql("sc types q", f""", {annual_ctes(5, 8, '', True, False)}, {HEALTH},

@@ -72,10 +72,10 @@ def _(spark, sf):
     return rounded(project.scale(d, "a", 1e-3, "tech", ["PROMO", "SMALL"]), 2, "a")
 
 
-@query("p9_scale_axes", f"SELECT year * CAST(0.1 AS DOUBLE) AS year, {r('sum(a) * 0.001', 3)} AS a FROM {facts_sql('year', 'a')} GROUP BY facts.year".replace(f"{facts_sql('year', 'a')}", f"{facts_sql('year', 'a')} facts"))
+@query("p9_scale_axes", f"SELECT year * CAST(0.1 AS DOUBLE) AS year, {r('sum(a) * 0.001', 5)} AS a FROM {facts_sql('year', 'a')} GROUP BY facts.year".replace(f"{facts_sql('year', 'a')}", f"{facts_sql('year', 'a')} facts"))
 def _(spark, sf):
     d = agg.aggregate(facts(spark, sf, "year", "a"), ["year"], "sum(a)", "a")
-    return rounded(project.scale(project.scale(d, "year", 0.1), "a", 0.001), 3, "a")
+    return rounded(project.scale(project.scale(d, "year", 0.1), "a", 0.001), 5, "a")
 
 
 @query("p10_column_order", f"SELECT flag, tech, year, {r('sum(a)', 2)} AS a FROM {facts_sql('flag', 'tech', 'year', 'a')} GROUP BY 1, 2, 3")
