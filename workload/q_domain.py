@@ -60,13 +60,20 @@ NEED = {"sc": "tech segment year", "types": "tech", "crf": "year", "pvf_cap": "y
         "load": "segment year", "cap": "tech status brand year", "rmap": "brand", "hours": "month"}
 
 
+def roll_up(spark, sf, *keys):
+    return facts(spark, sf, *keys, "a", "b", "c").groupBy(*keys).agg(
+        F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.col("b") * F.col("c")).alias("bc"))
+
+
+def rolled(spark, sf, *keys):
+    """Facts rolled up to the keys, written once for all uses in a query."""
+    return materialise(spark, roll_up(spark, sf, *keys))
+
+
 def inputs(spark, sf, *names):
     """The derived tables, all from one roll-up of the facts to the keys they need."""
     keys = sorted({k for n in names for k in NEED[n].split()})
-    f = facts(spark, sf, *keys, "a", "b", "c").groupBy(*keys).agg(
-        F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.col("b") * F.col("c")).alias("bc"))
-    if len(names) > 1:
-        f = materialise(spark, f)
+    f = rolled(spark, sf, *keys) if len(names) > 1 else roll_up(spark, sf, *keys)
     out = []
     for n in names:
         text = T[n].replace("AS INTEGER", "AS INT").replace("b * c", "bc")
@@ -152,7 +159,7 @@ SELECT year, cost_cat, {ANN_OUT} FROM ann""").replace(")\n,", "),\n").replace(
 d AS (SELECT g.*, years.year, CASE WHEN g.cost_cat = 'inv_investment_capacity_costs' AND years.year < 1995 THEN h.capex ELSE c.v END AS v FROM g""").replace(
     "AND c.cost_cat = g.cost_cat)", "AND c.cost_cat = g.cost_cat LEFT JOIN h ON h.year = years.year)"))
 def _(spark, sf):
-    capex = facts(spark, sf, "year", "brand", "a").groupBy((F.col("year") - 4).alias("t"), F.col("brand").alias("region")).agg((F.sum("a") * 1e3).alias("capex"))
+    capex = materialise(spark, facts(spark, sf, "year", "brand", "a").groupBy((F.col("year") - 4).alias("t"), F.col("brand").alias("region")).agg((F.sum("a") * 1e3).alias("capex")))
     rmap = inputs(spark, sf, "rmap")
     valid = rmap.select("r").filter("r IN ('p1', 'p2')").distinct()
     history = costs.historical_capex(capex, rmap, valid, by_region=False)
@@ -187,7 +194,7 @@ rcost AS (SELECT y.year, a.region, k.cost_cat, coalesce(lg.v, 0) + CASE WHEN k.c
 
 def _regional(spark, sf):
     types, rmap, crf = inputs(spark, sf, "types", "rmap", "crf")
-    f = facts(spark, sf, "tech", "brand", "year", "a", "b")
+    f = rolled(spark, sf, "tech", "brand", "year")
     sc = f.filter("year NOT IN (1996, 1999)").groupBy(F.expr(case("tech", COST_CATS)).alias("cost_cat"), F.col("brand").alias("region"), "year").agg((F.sum("a") * 1e4).alias(costs.COST))
     old = f.filter("CAST(substring(brand, 7) AS INT) >= 15").groupBy("year", F.col("brand").alias("region")).agg(F.sum("b").alias("existingcap"))
     return costs.regional_cost(sc, types, rmap, crf, old)
@@ -207,7 +214,7 @@ captrade AS (SELECT year, rr AS region, 'cap_trade_import_cost' AS cost_cat, sum
 
 def _flows(spark, sf):
     f = facts(spark, sf, *FLOW)
-    return f.groupBy(F.expr("concat('NATION_', from_nation)").alias("r"), F.col("rb").alias("rr"), F.expr(SEASON.replace("INTEGER", "INT")).alias("timeslice"), "year").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return materialise(spark, f.groupBy(F.expr("concat('NATION_', from_nation)").alias("r"), F.col("rb").alias("rr"), F.expr(SEASON.replace("INTEGER", "INT")).alias("timeslice"), "year").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
 
 
 def _node_price(fl, kind, keep):
@@ -215,14 +222,12 @@ def _node_price(fl, kind, keep):
     return nd.filter(keep).select(F.lit(kind).alias("type"), F.lit("na").alias("subtype"), F.col("r").alias("rb"), "timeslice", "year", S.ratio(S.ratio("a", "b"), F.lit(1000)).alias("p"))
 
 
-def _capacity_trade(spark, sf):
-    fl = _flows(spark, sf)
+def _capacity_trade(fl):
     amount = fl.select(F.col("r").alias("rb_out"), F.col("rr").alias("rb_in"), F.col("timeslice").alias("season"), "year", F.col("b").alias("Amount (MW)"))
     return costs.capacity_trade_cost(amount, _node_price(fl, "res_marg", "timeslice <> 'q4'"))
 
 
-def _energy_trade(spark, sf):
-    fl = _flows(spark, sf)
+def _energy_trade(fl):
     gen = fl.select("r", "timeslice", "year", (F.col("b") / 1000).alias("Generation (GW)"))
     frac = fl.select("r", "rr", "timeslice", "year", (F.col("b") / 5000).alias("frac"))
     hours = fl.select("timeslice").distinct().withColumn("hours", F.lit(2190))
@@ -240,13 +245,13 @@ entrade AS (SELECT * FROM im UNION ALL SELECT * FROM exx)"""
 
 @query("d6_capacity_trade_cost", f'WITH {FLOWS}, {NODE}, {CAP_TRADE} SELECT year, region, cost_cat, {r("v * 1e3")} AS "Cost (Bil $)" FROM captrade')
 def _(spark, sf):
-    d = _capacity_trade(spark, sf)
+    d = _capacity_trade(_flows(spark, sf))
     return rounded(d.withColumn(costs.COST, F.col(costs.COST) * 1e3), 4, costs.COST)
 
 
 @query("d7_energy_trade_cost", f'WITH {FLOWS}, {NODE}, {ENERGY_TRADE} SELECT year, region, cost_cat, {r("v * 1e3")} AS "Cost (Bil $)" FROM entrade')
 def _(spark, sf):
-    d = _energy_trade(spark, sf)
+    d = _energy_trade(_flows(spark, sf))
     return rounded(d.withColumn(costs.COST, F.col(costs.COST) * 1e3), 4, costs.COST)
 
 
@@ -255,7 +260,8 @@ ld AS (SELECT year, rb, sum(b) AS q FROM {facts_sql('rb', 'year', 'tech', 'b')}
 SELECT t.year, t.region AS rb, cost_cat, q AS "load (MWh)", {r('v * 1e9 / q')} AS "Average cost ($/MWh)" FROM (SELECT * FROM captrade UNION ALL SELECT * FROM entrade) t JOIN ld ON ld.year = t.year AND ld.rb = t.region""")
 def _(spark, sf):
     q = facts(spark, sf, "rb", "year", "tech", "b").filter("year <> 1997").groupBy(F.expr(case("tech", REQUIREMENTS)).alias("type"), "rb", "year").agg(F.sum("b").alias("q"))
-    d = costs.average_price_regional([_capacity_trade(spark, sf), _energy_trade(spark, sf)], q)
+    fl = _flows(spark, sf)
+    d = costs.average_price_regional([_capacity_trade(fl), _energy_trade(fl)], q)
     return rounded(d.drop(costs.COST), 4, "Average cost ($/MWh)")
 
 
@@ -420,7 +426,7 @@ SELECT l.tech, l.vintage, l.region, l.year, l.bin, {r(f'c / {DEFL}')} AS "$/MWh"
 CASE WHEN coalesce(ch.mw, 0) <> 0 THEN 'yes' ELSE 'no' END AS chosen, l.tech || ' | ' || l.vintage || ' | ' || l.region || ' | ' || l.bin AS icrb FROM l
 LEFT JOIN av ON av.tech = l.tech AND av.region = l.region AND av.year = l.year AND av.bin = l.bin LEFT JOIN ch ON ch.tech = l.tech AND ch.vintage = l.vintage AND ch.region = l.region AND ch.year = l.year AND ch.bin = l.bin""")
 def _(spark, sf):
-    f = facts(spark, sf, "tech", "status", "segment", "year", "flag", "month", "a", "b").toDF("tech", "vintage", "region", "year", "bin", "month", "a", "b")
+    f = rolled(spark, sf, "tech", "status", "segment", "year", "flag", "month").drop("bc").toDF("tech", "vintage", "region", "year", "bin", "month", "a", "b")
     key = ["tech", "region", "year", "bin"]
     lcoe = f.groupBy("tech", "vintage", *key[1:]).agg(S.ratio(F.sum("a"), F.sum("b")).alias("$/MWh"))
     avail = f.filter("month = 5").groupBy(*key).agg(F.sum("b").alias("available MW"))
@@ -476,7 +482,7 @@ SEAS = f"f AS MATERIALIZED {facts_sql('tech', 'brand', 'year', 'month', 'a', 'b'
 
 
 def _seasonal(spark, sf):
-    f = facts(spark, sf, "tech", "brand", "year", "month", "a", "b").withColumnRenamed("brand", "region").withColumn("season", F.expr(SEASON.replace("INTEGER", "INT")))
+    f = rolled(spark, sf, "tech", "brand", "year", "month").withColumnRenamed("brand", "region").withColumn("season", F.expr(SEASON.replace("INTEGER", "INT")))
     cap = f.groupBy("tech", "region", "year").agg((F.sum("a") / 1e6).alias("MW"))
     return cap, f.filter("tech <> 'SMALL' AND region <> 'Brand#3'").groupBy("tech", "region", "year", "season").agg(F.sum("b").alias("firm"))
 
@@ -595,7 +601,7 @@ def _health(spark, sf):
     f = facts(spark, sf, "flag", "status", "tech", "segment", "year", "month", "a", "b").filter("year NOT IN (1997, 1999) AND NOT (tech = 'PROMO' AND segment = 'BUILDING' AND year < 1998)")
     h = f.groupBy(F.col("flag").alias("model"), F.col("status").alias("cr"), F.col("tech").alias("e"), F.col("segment").alias("rb"), "year").agg(
         (F.sum("a") * 1e3).alias(operation.DAMAGE), F.sum("b").alias(operation.LIVES), F.sum("a").alias(operation.TONNES))
-    return operation.health_damage(h)
+    return operation.health_damage(materialise(spark, h))
 
 
 @query("d32_health_damage", f"""WITH {HEALTH}
@@ -630,12 +636,14 @@ ad AS (SELECT year, sum(mw * km / 1.60934 / 1000) AS v FROM nb LEFT JOIN ds USIN
 SELECT trtype, year, {r('v', 6)} AS "Amount (GW-mi)", {r('w', 6)} AS "Trans cap, PRM (GW-mi)" FROM tr
 UNION ALL SELECT 'spur', y.year, {r('sum(coalesce(ad.v, 0)) OVER (ORDER BY y.year)', 6)}, NULL FROM (SELECT DISTINCT year FROM tr) y LEFT JOIN ad ON ad.year = y.year""")
 def _(spark, sf):
-    f = facts(spark, sf, "tech", "flag", "status", "segment", "year", "a", "b")
+    f = facts(spark, sf, "tech", "flag", "status", "segment", "year", "a", "b").groupBy("tech", "flag", "status", "segment", "year").agg(
+        F.sum("b").alias("b"), F.sum("a").alias("a"), F.count(F.lit(1)).alias("n"))
+    f = materialise(spark, f)
     miles = f.filter("status = 'F'").groupBy(F.col("flag").alias("trtype"), "year").agg(F.sum("b").alias("Amount (GW-mi)"))
     firm = f.filter("status = 'O' AND year > 1996").groupBy(F.col("flag").alias("trtype"), "year").agg(F.sum("b").alias("Trans cap, PRM (GW-mi)"))
-    named = f.select(F.expr("CASE tech WHEN 'SMALL' THEN 'wind-ons_1' WHEN 'LARGE' THEN 'upv_2' ELSE tech END").alias("i"), F.col("segment").alias("r"), F.col("flag").alias("rscbin"), "year", "a", "b")
+    named = f.select(F.expr("CASE tech WHEN 'SMALL' THEN 'wind-ons_1' WHEN 'LARGE' THEN 'upv_2' ELSE tech END").alias("i"), F.col("segment").alias("r"), F.col("flag").alias("rscbin"), "year", "a", "b", "n")
     new = named.filter("year <> 1998").select("i", "r", "rscbin", "year", F.col("b").alias("MW"))
-    dist = named.groupBy("i", "r", "rscbin").agg((F.avg("a") / 1000).alias("dist_km"))
+    dist = named.groupBy("i", "r", "rscbin").agg((F.sum("a") / F.sum("n") / 1000).alias("dist_km"))
     return rounded(operation.spur_lines(miles, firm, new, dist), 6, "Amount (GW-mi)", "Trans cap, PRM (GW-mi)")
 
 
