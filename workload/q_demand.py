@@ -296,10 +296,10 @@ def _(spark, sf):
 
 
 @query("r19_compare_sources", f"""WITH f AS MATERIALIZED {facts_sql('segment', 'year', 'flag', 'status', 'b', 'c')}, t AS (SELECT year, segment, sum(b) AS x, coalesce(sum(CASE WHEN NOT (flag = 'A' AND status = 'F') THEN b END), 0) AS y, sum(b * c) AS z FROM f GROUP BY 1, 2)
-SELECT year, segment, 'EIA (CAC)' AS source, {r('x')} AS value FROM t UNION ALL SELECT year, segment, 'EIA (no CAC)', {r('y')} FROM t UNION ALL SELECT year, segment, 'published', {r('z')} FROM t WHERE true""")
+SELECT year, segment, 'all' AS source, {r('x')} AS value FROM t UNION ALL SELECT year, segment, 'without', {r('y')} FROM t UNION ALL SELECT year, segment, 'published', {r('z')} FROM t WHERE true""")
 def _(spark, sf):
     f = facts(spark, sf, "segment", "year", "flag", "status", "b", "c")
     published = f.groupBy("year", "segment").agg(F.sum(F.col("b") * F.col("c")).alias("published"))
     out = retail.compare_sources(f.withColumnRenamed("b", "value"), published, "segment", (F.col("flag") == "A") & (F.col("status") == "F"),
-                                 {"all_rows": "EIA (CAC)", "without_excluded": "EIA (no CAC)"})
+                                 {"all_rows": "all", "without_excluded": "without"})
     return rounded(out, 4, "value")
