@@ -50,8 +50,12 @@ def position(df: DataFrame, column: str) -> Column:
     c = F.col(column)
     if isinstance(kind, (T.NumericType, T.BooleanType)):
         return c.cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        # Wall-clock seconds: no time zone, so no hour is skipped or repeated.
+        clock = F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+        return (F.unix_date(c.cast("date")).cast("double") * 86400) + clock
     if isinstance(kind, T.DateType):
         return F.unix_date(c).cast("double")
     if isinstance(kind, T.StringType):

@@ -44,6 +44,17 @@ def test_slices_by_text_follow_text_order(spark):
     assert [r.p for r in p] == sorted(r.p for r in p)
 
 
+def test_wall_clock_order_ignores_the_time_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        d = spark.sql("SELECT explode(sequence(timestamp_ntz'2024-03-10 00:30:00', timestamp_ntz'2024-03-10 05:00:00', interval 15 minutes)) AS t")
+        p = [r.p for r in d.select("t", ordered.position(d, "t").alias("p")).orderBy("t").collect()]
+        assert p == sorted(set(p)) and p[1] - p[0] == 900
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
 def test_quantiles_equal_exact_percentile(ev):
     probs = prep.BOX_PROBS
     want = {r.g: r.p for r in ev.groupBy("g").agg(F.percentile("value", F.array(*[F.lit(p) for p in probs.values()])).alias("p")).collect()}
