@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from longview.llm import exact_dedup
+from longview.llm import exact_dedup, packing, simhash
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
+    "op8_simhash": simhash.op8_simhash,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {
