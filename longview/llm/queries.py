@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from longview.llm import exact_dedup, packing, simhash
+from longview.llm import exact_dedup, mixing, packing, sharding, simhash
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op4_sharding": sharding.op4_sharding,
+    "op6_mixing": mixing.op6_mixing,
     "op8_simhash": simhash.op8_simhash,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
