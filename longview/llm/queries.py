@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from longview.llm import exact_dedup, mixing, packing, sharding, simhash
+from longview.llm import exact_dedup, mixing, packing, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op4_sharding": sharding.op4_sharding,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_mixing": mixing.op6_mixing,
     "op8_simhash": simhash.op8_simhash,
+    "op9_quality": quality.op9_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {
