@@ -7,7 +7,6 @@ patterns. Each pattern then owns a range of ranks of every length it holds, and
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import defaultdict
 
@@ -22,7 +21,7 @@ from longview.llm.common import written
 #: Pieces that one task ranks at once, on average.
 RANKED_AT_ONCE = 4096
 #: Cached words of one Python worker; a full cache is emptied.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 1_400_000
 
 
 class Encoder:
@@ -36,14 +35,17 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s(?= )", r"(?<= )\s", *map(re.escape, special)]))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         split = self.tokenizer.pre_tokenizer
-        self.by_word = self.tokenizer.normalizer is None and isinstance(split, pre_tokenizers.ByteLevel) and not split.add_prefix_space
+        self.by_word = (self.tokenizer.normalizer is None and isinstance(split, pre_tokenizers.ByteLevel) and not split.add_prefix_space
+                        and not any(" " in s for s in self.special))
 
     def _all(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _plain(self, word: str) -> bool:
+        return word != "" and not word[0].isspace() and not word[-1].isspace() and not any(s in word for s in self.special)
+
     def _learn(self, words: list[str]) -> None:
         if len(self.known) + len(words) > CACHED_WORDS:
             self.known.clear()
@@ -53,14 +55,18 @@ class Encoder:
         self.known.update((w, raw[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
 
     def ids(self, text: str) -> bytes:
-        if not self.by_word or self.whole.search(text):
+        first, *words = text.split(" ") if self.by_word else [text]
+        if not words or first[-1:].isspace() or not (first == "" or self._plain(first.lstrip())):
             return self._all(text)
-        first, *words = text.split(" ")
-        new = [w for w in set(words) if w not in self.known]
-        if new:
+        parts = list(map(self.known.get, words))
+        if None in parts:
+            # Only plain words are ever kept, so any other word comes by here.
+            new = list({w for w, part in zip(words, parts) if part is None})
+            if not all(map(self._plain, new)):
+                return self._all(text)
             self._learn(new)
-            words = words if self.known.keys() >= set(words) else None
-        return self._all(first) + b"".join([self.known[w] for w in words]) if words is not None else self._all(text)
+            parts = [part or self.known.get(w) for w, part in zip(words, parts)]
+        return self._all(first) + b"".join(parts)
 
 
 _ENCODERS: dict[str, Encoder] = {}
