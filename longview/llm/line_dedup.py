@@ -55,8 +55,8 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, keep_first:
     A line is compared without the white space around it; lines of white space alone are left. A line that ``min_sites``
     distinct sites show goes from all texts but one: with ``keep_first`` its first occurrence by id, text and position
     stays, so that what whole copies share is not lost altogether. Null texts stay null; a null site is a site and null
-    ids come first. Rows that agree in id and text are treated alike. All rows and columns come back, an empty table
-    gives an empty result; texts that lose all their lines come back empty.
+    ids come first. Rows that agree in id and text are treated alike. All rows and columns come back (a column
+    lines_removed is replaced; names from two underscores on are reserved), an empty table gives an empty result; texts that lose all their lines come back empty.
 
     Shuffled are line hashes with sites (merged to sketches before), positions of lines that go, and once the texts, to
     meet those positions.
@@ -68,19 +68,18 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, keep_first:
         first = written(hits.groupBy("h1", "h2").agg(F.min(F.struct("id", "text_hash", "pos")).alias("first")))
         hits = hits.join(first, ["h1", "h2"]).filter(~F.struct("id", "text_hash", "pos").eqNullSafe(F.col("first")))
     gone = written(hits.groupBy("id", "text_hash").agg(F.collect_set("pos").alias("_gone")))
-    gone = gone.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "_gone")
-    rows = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    rows = rows.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    rest = F.array_join(F.filter(_lines(F.col(text_col)), lambda line, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    text = F.when(F.isnull("_gone"), F.col(text_col)).otherwise(rest)
-    removed = F.greatest(F.size("_gone"), F.lit(0)).alias("lines_removed")
-    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], removed)
+    gone = gone.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("_gone").alias("__gone"))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash"))
+    rows = docs.join(gone, same, "left")
+    rest = F.array_join(F.filter(_lines(F.col(text_col)), lambda line, i: ~F.array_contains(F.col("__gone"), i)), "\n")
+    text = F.when(F.isnull("__gone"), F.col(text_col)).otherwise(rest)
+    removed = F.greatest(F.size("__gone"), F.lit(0)).cast("long").alias("lines_removed")
+    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "lines_removed"], removed)
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = without_boilerplate(docs.select("doc_id", "text", "source"))
-    return out.select("doc_id", "text", F.col("lines_removed").cast("long").alias("lines_removed"))
+    return without_boilerplate(docs.select("doc_id", "text", "source")).select("doc_id", "text", "lines_removed")
 
 
 SQL = r"""

@@ -200,7 +200,7 @@ def _day(x: int) -> datetime.date | None:
     return datetime.date(year, month, day) if day <= calendar.monthrange(year, month)[1] and month <= 12 and day > 12 else None
 
 
-_HINT = re.compile(r"[0-9@]")
+_HINT = re.compile(r"[0-9@]|AKIA|pass|pwd|secret|token|key")
 _VALUES = re.compile(r"""
 (?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
 |(?P<secret>\bAKIA[0-9A-Z]{16}\b|(?P<named>\b(?:password|passwd|pwd|secret|token|api_?key)\s*[=:]\s*["']?)(?P<value>[A-Za-z0-9]{12,}))
@@ -208,7 +208,7 @@ _VALUES = re.compile(r"""
 |(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))
 |(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
 |(?P<date>(?<![\d./-])(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?![\d]|[./-]\d))
-|(?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d]|-\d))
+|(?P<card>(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?![\d]|-\d))
 |(?P<phone>(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?![\w-]))
 """, re.X)
 

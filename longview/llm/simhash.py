@@ -127,10 +127,11 @@ def one_of_each(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
     Of rows that share that id one stays. Rows without an id stay, once per text, if their component has no id at all.
     """
     groups = near_groups(docs, shingle, bits)
-    stay = written(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    kept = docs.join(stay.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", F.when(F.isnull("doc_id"), F.xxhash64("text"))).orderBy(F.length("text").desc(), F.xxhash64("text")))
-    return kept.withColumn("_first", first).filter("_first = 1").select(*docs.columns)
+    stay = written(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct())
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    alone = F.when(F.isnull("doc_id"), F.xxhash64("text"))
+    first = F.row_number().over(Window.partitionBy("doc_id", alone).orderBy(F.length("text").desc(), F.xxhash64("text")))
+    return kept.withColumn("__first", first).filter("__first = 1").select(*docs.columns)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
