@@ -42,6 +42,7 @@ PARAGRAPH, HEADING, ITEM, WORDS, SENTENCE, LINKS, BARE = 0.6, 0.4, -0.4, 0.35, 0
 NEXT, SAME_PARENT = 1.2, 0.4
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']+|"[^"]*"|'[^']*'){0,200}+|[^<>]*)>""", re.S)
+_UNFINISHED = re.compile(r"</?[a-zA-Z][^<>]*\Z")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -108,7 +109,7 @@ def blocks(page: str) -> list[Block]:
     while at < len(page):
         m = _TAG.search(page, at) if at <= last or "<!" in page[at:] else None
         if m is None:
-            add(entities.unescape(page[at:]))
+            add(entities.unescape(_UNFINISHED.sub("", page[at:])))
             break
         add(entities.unescape(page[at:m.start()]))
         at = m.end()
