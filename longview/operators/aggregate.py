@@ -11,7 +11,6 @@ from longview.operators.joins import expand_by
 from longview.operators.project import keep_for_grouping
 
 MAX_DOMAIN = 10_000
-MAX_PIVOT = 1_000
 BIG_GRID = 1_000_000
 
 # Names of the view aggregations.
@@ -202,14 +201,14 @@ def argmax_rows(df: DataFrame, by: list[str], measure: str) -> DataFrame:
 def complete_categories(df: DataFrame, by: list[str], category: str, value: str) -> DataFrame:
     """Every category for every observed key; mean of duplicates, zero where missing.
 
-    A moderate number of categories becomes one pivot column each, folded back into
-    rows: a single shuffle.  More of them are laid out as rows and joined.
+    Keys and categories are laid out as rows, so a key that is null counts like any other;
+    a null category is none.
     """
-    kinds = df.select(category).filter(F.col(category).isNotNull()).distinct()
-    names = sorted(r[0] for r in kinds.limit(MAX_PIVOT + 1).collect())
-    if len(names) <= MAX_PIVOT:
-        wide = df.groupBy(*by).pivot(category, names).agg(F.avg(value))
-        return wide.unpivot(list(by), names, category, value).fillna(0, subset=[value])
     mean = df.groupBy(*by, category).agg(F.avg(value).alias(value))
+    kinds = mean.select(category).filter(F.col(category).isNotNull()).distinct()
     full = expand_by(mean.select(*by).distinct(), kinds)
-    return full.join(mean, [*by, category], "left").fillna(0, subset=[value])
+    known = mean.select(*[F.col(c).alias(f"__{c}") for c in [*by, category]], value)
+    same = F.col(category).eqNullSafe(F.col(f"__{category}"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return full.join(known, same, "left").select(*by, category, value).fillna(0, subset=[value])

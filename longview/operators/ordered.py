@@ -16,18 +16,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from longview.operators.common import attach
+from longview.operators.common import attach, group_count
 
 SLICE = "__slice"
 _POS = "__position"
 ROWS_PER_SLICE = 2_000_000
-MAX_SLICES = 10_000
+# Accuracy of the sketch that places numeric cut points; texts drawn per slice to place text ones.
+ACCURACY = 10_000
+DRAWN = 200
 
 
 @dataclass(frozen=True)
 class Slices:
-    """Cut points (in the numeric image of the order column) shared by all groups."""
-    bounds: tuple[float, ...] = ()
+    """Cut points shared by all groups: texts for a text column, else numbers in its numeric image."""
+    bounds: tuple = ()
     groups: int | None = None
 
     @property
@@ -38,6 +40,9 @@ class Slices:
     def assign(self, df: DataFrame, order: str) -> DataFrame:
         if not self.bounds:
             return df.withColumn(SLICE, F.lit(0))
+        if isinstance(self.bounds[0], str):
+            below = F.size(F.filter(F.array(*[F.lit(b) for b in self.bounds]), lambda b: b <= F.col(order)))
+            return df.withColumn(SLICE, F.when(F.col(order).isNull(), 0).otherwise(below))
         cut = Bucketizer(splits=[float("-inf"), *self.bounds, float("inf")],
                          inputCol=_POS, outputCol=SLICE, handleInvalid="keep")
         placed = df.withColumn(_POS, F.coalesce(position(df, order), F.lit(float("-inf"))))
@@ -58,9 +63,6 @@ def position(df: DataFrame, column: str) -> Column:
         return (F.unix_date(c.cast("date")).cast("double") * 86400) + clock
     if isinstance(kind, T.DateType):
         return F.unix_date(c).cast("double")
-    if isinstance(kind, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
     raise TypeError(f"cannot order slices by {kind.simpleString()}")
 
 
@@ -73,17 +75,26 @@ def plan_slices(df: DataFrame, order: str, by: list[str] | None = None,
     to it, so that a small summary can be broadcast.
     """
     n = df.count()
-    parts = min(MAX_SLICES, -(-n // rows_per_slice))
+    parts = -(-n // rows_per_slice)
     if parts <= 1:
         return Slices()
+    if isinstance(df.schema[order].dataType, T.StringType):
+        return Slices(_text_bounds(df, order, n, parts), None if by is None else group_count(df, by) if by else 1)
     at = df.select(position(df, order).alias(_POS), *([F.struct(*by).alias("__g")] if by else []))
     probs = [i / parts for i in range(1, parts)]
     count = [F.approx_count_distinct("__g")] if by else []
-    row = at.agg(F.percentile_approx(_POS, probs, MAX_SLICES), *count).first()
+    row = at.agg(F.percentile_approx(_POS, probs, max(ACCURACY, 10 * parts)), *count).first()
     cuts = sorted({c for c in row[0] or [] if c == c and abs(c) != float("inf")})
     return Slices(tuple(cuts), row[1] if by else 1 if by == [] else None)
 
 
+def _text_bounds(df: DataFrame, order: str, n: int, parts: int) -> tuple[str, ...]:
+    """Quantiles of a draw of whole texts: a fixed number per slice, whatever the rows."""
+    drawn = df.select(order).filter(F.col(order).isNotNull()).sample(min(1.0, DRAWN * parts / n), 7)
+    texts = sorted((r[0] for r in drawn.collect()), key=lambda t: t.encode())
+    return tuple(sorted({texts[i * len(texts) // parts] for i in range(1, parts)}, key=lambda t: t.encode())) if texts else ()
+
+
 def _window(by: list[str], order: list[str]) -> Window:
     return Window.partitionBy(*by, SLICE).orderBy(*order)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from longview.functions import scalars as S
 from longview.operators import ordered, ranking, windows
 from longview.operators.common import attach, without
+from longview.operators.joins import expand_by
 
 
 def net_level(df: DataFrame, y: str, keys: list[str], out: str | None = None) -> DataFrame:
@@ -34,6 +35,22 @@ def stack_levels(df: DataFrame, x: str, y: str, series: str, by: list[str] | Non
     Series are stacked in the custom order, else by name.
     """
     by = list(by or [])
+    # Levels of all series at every x of their panel: outlines of areas need the missing ones too.
+    names = [*by, x, series]
+    each = df.select(*[F.col(c).alias(f"__{c}") for c in by], series).distinct()
+    at = df.select(*by, x).distinct()
+    if by:
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        full = at.join(each, same).select(*names)
+    else:
+        full = expand_by(at, each)
+    known = df.select(*[F.col(c).alias(f"__{c}" if c in names else c) for c in df.columns])
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    df = full.join(known, same, "left").select(*df.columns).fillna(0, subset=[y])
     rank = ranking.order_rank(series, order) if order else F.lit(0)
     d = (df.withColumn("__rank", rank)
            .withColumn("__p", F.when(F.col(y) > 0, F.col(y)).otherwise(F.lit(0.0)))
@@ -141,11 +158,10 @@ def arrow_ends(df: DataFrame, fraction: float) -> DataFrame:
 
 def series_colors(df: DataFrame, series: str, order: list | None = None) -> DataFrame:
     """Distinct series with a running index in display order and the palette colour."""
-    rank = ranking.order_rank(series, order) if order else F.lit(0)
-    # One text key: custom position first, then the value itself.
-    key = F.concat(F.lpad(rank.cast("string"), 4, "0"), F.col(series).cast("string"))
-    names = df.select(series).distinct().withColumn("__key", key)
-    d = ordered.number_rows(names, [], ["__key"], "__i")
+    names = df.select(series).distinct()
+    if order:
+        names = names.withColumn("__rank", ranking.order_rank(series, order))
+    d = ordered.number_rows(names, [], [*(["__rank"] if order else []), series], "__i")
     palette = F.array(*[F.lit(c) for c in ranking.SERIES_COLORS])
     index = (F.col("__i") - 1).cast("int")
     return d.select(series, index.alias("color_index"),

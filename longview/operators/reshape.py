@@ -75,5 +75,7 @@ def with_identity(mapping: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def transpose(df: DataFrame, index: str) -> DataFrame:
-    """Swap rows and columns of a small table, ``index`` values becoming columns."""
-    return df.transpose(F.col(index))
+    """Swap rows and columns, ``index`` values becoming columns in their sort order."""
+    values = [c for c in df.columns if c != index]
+    long = df.select(F.col(f"`{index}`"), *[F.col(f"`{c}`") for c in values]).unpivot([F.col(f"`{index}`")], [F.col(f"`{c}`") for c in values], "key", "__value")
+    return pivot_first(long, ["key"], index, "__value")

@@ -144,6 +144,12 @@ def base_options(df: DataFrame, column: str) -> DataFrame:
     return special.unionByName(values.select(F.lit(2).alias("position"), "base"))
 
 
+def unknown_bases(wanted: DataFrame, df: DataFrame, column: str) -> DataFrame:
+    """``wanted`` (column ``value``) with ``unknown``: whether a comparison on ``column`` of ``df`` has no such base."""
+    known = base_options(df, column).select(F.col("base").alias("__base"), F.lit(False).alias("__new")).distinct()
+    return wanted.join(known, F.col("value") == F.col("__base"), "left").select(*wanted.columns, F.coalesce("__new", F.lit(True)).alias("unknown"))
+
+
 def run_view(df: DataFrame, spec: ViewSpec | dict, orders: dict[str, list] | None = None,
              sort: bool = True) -> DataFrame:
     """Filter, limit series, aggregate, compare, scale, add levels, sort.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longview.operators import aggregate, project
+from longview.operators import aggregate, joins, project, ranking, reshape
 from longview.sources import csvfiles
 
 # Layout of a run folder.
@@ -38,7 +39,7 @@ def discover_scenarios(spark: SparkSession, paths: str, marker: str = MARKER) ->
     """Runs behind a pipe list of run folders, parents of run folders or scenario lists.
 
     A run counts if its output folder holds the marker.  A list file fixes names,
-    order and colours.
+    order and colours.  Runs of equal name keep apart: they are known by their folder.
     """
     out: list[Scenario] = []
     for p in csvfiles.split_paths(paths):
@@ -52,13 +53,38 @@ def discover_scenarios(spark: SparkSession, paths: str, marker: str = MARKER) ->
         own = _marked_runs(spark, f"{p}/{OUTPUT_DIR}/{marker}")
         for run in own or _marked_runs(spark, f"{p}/*/{OUTPUT_DIR}/{marker}"):
             out.append(Scenario(run.rsplit("/", 1)[1], run))
-    return out
+    return unique_names(list({(s.name, s.path): s for s in out}.values()))
+
+
+def _plain_path(path: str) -> str:
+    """Path without scheme and host, as runs are told apart by their whole folder."""
+    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/")
 
 
 def _run_folder():
     # File paths arrive URL-encoded; a plus sign stands for itself.
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return F.regexp_extract(path, rf"([^/]+)/{OUTPUT_DIR}/", 1)
+    folder = F.regexp_extract(path, rf"^(.*)/{OUTPUT_DIR}/", 1)
+    return F.regexp_replace(folder, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+
+
+def unique_names(runs: list[Scenario]) -> list[Scenario]:
+    """Runs whose names differ in more than case: a repeated name gets its parent folder in front, then its number."""
+    seen: dict[str, int] = {}
+    for s in runs:
+        seen[s.name.lower()] = seen.get(s.name.lower(), 0) + 1
+    out, used = [], set()
+    for s in runs:
+        name = s.name
+        if seen[name.lower()] > 1:
+            parent = s.path.rstrip("/").rsplit("/", 2)
+            name = f"{parent[-2]}/{name}" if len(parent) > 2 else name
+        first, n = name, 2
+        while name.lower() in used:
+            name, n = f"{first} ({n})", n + 1
+        used.add(name.lower())
+        out.append(Scenario(name, s.path, s.color))
+    return out
 
 
 def read_source(spark: SparkSession, scenarios: list[Scenario], src: dict) -> DataFrame:
@@ -79,7 +105,7 @@ def read_source(spark: SparkSession, scenarios: list[Scenario], src: dict) -> Da
         raw = raw.toDF(*src["columns"], "__run")
         run = raw["__run"]
         body = raw.drop("__run")
-    names = F.create_map(*[F.lit(v) for s in scenarios for v in (s.path.rsplit("/", 1)[1], s.name)])
+    names = F.create_map(*[F.lit(v) for s in scenarios for v in (_plain_path(s.path), s.name)])
     tagged = raw.withColumn("scenario", F.try_element_at(names, run)).drop("__run")
     clean = project.lowercase_strings(project.clean_sentinels(tagged.select(*body.columns, "scenario")))
     lower_to_name = F.create_map(*[F.lit(v) for s in scenarios for v in (s.name.lower(), s.name)])
@@ -90,8 +116,8 @@ def _transposed(raw: DataFrame, scenarios: list[Scenario], src: dict) -> DataFra
     """Transposed sources are small parameter tables: one run at a time."""
     frames = []
     for s in scenarios:
-        one = raw.filter(F.col("__run") == s.path.rsplit("/", 1)[1]).drop("__run")
-        flipped = one.transpose()
+        one = raw.filter(F.col("__run") == _plain_path(s.path)).drop("__run")
+        flipped = reshape.transpose(one, one.columns[0])
         flipped = flipped.toDF(*src["columns"]) if "columns" in src else flipped
         flipped = project.lowercase_strings(project.clean_sentinels(flipped))
         frames.append(flipped.withColumn("scenario", F.lit(s.name)))
@@ -156,8 +182,39 @@ def read_result(spark: SparkSession, scenarios: list[Scenario], result: dict, me
     return df
 
 
+@dataclass(frozen=True)
+class ViewSource:
+    """A result ready for a view: its rows, column roles, and orders and colours of styled columns."""
+    df: DataFrame
+    roles: dict[str, list[str]]
+    orders: dict[str, list]
+    colors: dict[str, dict]
+
+
+def load_view_source(result: DataFrame, meta: dict) -> ViewSource:
+    """The chain from a loaded (and densified) result to a view, driven by column metadata.
+
+    Per column, in order: ``join`` attributes of a lookup keyed by the column, ``map`` raw to display values, ``style``
+    (order and colours); columns that a join adds go through the same.  Then types, roles and fills of missing values.
+    """
+    df, orders, colors, done = result, {}, {}, set()
+    while todo := [c for c in df.columns if c not in done]:
+        c = todo[0]
+        done.add(c)
+        one = meta.get(c, {})
+        if "join" in one:
+            df = joins.join_attributes(df, one["join"], c)
+        if "map" in one:
+            df = joins.map_values(df, c, one["map"])
+        if "style" in one:
+            orders[c], colors[c] = ranking.style_orders(one["style"])
+    df = project.coerce_types(df, meta)
+    roles = project.roles_from_meta(df, meta)
+    return ViewSource(project.fill_by_role(df), roles, orders, colors)
+
+
 class ResultStore:
-    """Loaded results by name, extended scenario by scenario.
+    """Loaded results by name, extended scenario by scenario; runs are known by their folder.
 
     Frames are persisted in memory and on disk; blocks of a lost executor are
     recomputed from the files.
@@ -170,14 +227,14 @@ class ResultStore:
     def load(self, name: str, active: list[Scenario]) -> DataFrame:
         """The result for the active scenarios; only new ones are read."""
         have = self._loaded.setdefault(name, {})
-        keep = {s.name for s in active}
+        keep = {s.path for s in active}
         for gone in [n for n in have if n not in keep]:
             have.pop(gone).unpersist()
         result = {k: v for k, v in self.catalog[name].items() if k != "index"}
         for s in active:
-            if s.name not in have:
-                have[s.name] = read_result(self.spark, [s], result, self.meta).persist(StorageLevel.MEMORY_AND_DISK)
-        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [have[s.name] for s in active])
+            if s.path not in have:
+                have[s.path] = read_result(self.spark, [s], result, self.meta).persist(StorageLevel.MEMORY_AND_DISK)
+        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [have[s.path] for s in active])
         index = self.catalog[name].get("index")
         if index:
             df = aggregate.densify(df, ["scenario", *index])

@@ -91,11 +91,26 @@ def test_densify_beyond_the_domain_bound(d, monkeypatch):
     assert agg.densify(d, ["scenario", "tech", "year"], ["y"]).count() == 8
 
 
-def test_complete_categories_beyond_the_pivot_bound(d, rows, monkeypatch):
-    want = rows(agg.complete_categories(d, ["scenario", "year"], "tech", "y"), "scenario", "year", "tech", "y")
-    monkeypatch.setattr(agg, "MAX_PIVOT", 1)
-    assert rows(agg.complete_categories(d, ["scenario", "year"], "tech", "y"), "scenario", "year", "tech", "y") == want
-    assert len(want) == 8
+def test_complete_categories_of_many_categories_and_null_keys(spark, d, rows, monkeypatch):
+    assert agg.complete_categories(d, ["scenario", "year"], "tech", "y").count() == 8
+    few = spark.createDataFrame([("k", "a", 1.0), (None, "a", 2.0), (None, "b", 4.0), (None, "b", 6.0), ("k", None, 9.0)], "k string, c string, v double")
+    want = [("k", "a", 1.0), ("k", "b", 0.0), (None, "a", 2.0), (None, "b", 5.0)]
+    assert sorted(rows(agg.complete_categories(few, ["k"], "c", "v")), key=str) == sorted(want, key=str)
+    monkeypatch.setattr("longview.operators.joins.MAX_INLINE_ROWS", 1)
+    assert sorted(rows(agg.complete_categories(few, ["k"], "c", "v")), key=str) == sorted(want, key=str)
+
+
+def test_order_of_more_than_9999_listed_values(spark):
+    order = [f"v{i}" for i in range(10050)]
+    df = spark.createDataFrame([(v,) for v in ("v10000", "v9999", "v999", "v9", "w")], "s string")
+    got = [r.s for r in prep.series_colors(df, "s", order).orderBy("color_index").collect()]
+    assert got == ["v9", "v999", "v9999", "v10000", "w"]
+
+
+def test_transpose_of_more_rows_than_columns_allow(spark):
+    df = spark.createDataFrame([(f"k{i:04d}", float(i), -float(i)) for i in range(700)], "k string, a double, b double")
+    got = {r.key: r for r in reshape.transpose(df, "k").collect()}
+    assert len(got["a"]) == 701 and got["a"].k0699 == 699.0 and got["b"].k0003 == -3.0
 
 
 def test_histogram_matches_numpy(spark):
@@ -196,6 +211,9 @@ def test_stack_levels(spark, rows):
     got = {r.s: (r.base_pos, r.top_pos, r.base_neg, r.top_neg) for r in prep.stack_levels(df, "x", "y", "s").collect()}
     assert got == {"a": (0, 2, 0, 0), "b": (2, 2, 0, -1), "c": (2, 5, -1, -1), "d": (5, 5, -1, -5)}
     assert rows(prep.net_line(df, "x", "y")) == [("x", 0.0)]
+    more = df.union(spark.createDataFrame([("z", "b", 5.0)], df.schema))
+    at_z = {r.s: (r.y, r.base_pos, r.top_pos) for r in prep.stack_levels(more, "x", "y", "s").filter("x = 'z'").collect()}
+    assert at_z == {"a": (0, 0, 0), "b": (5, 0, 5), "c": (0, 5, 5), "d": (0, 5, 5)}
     bounds = prep.axis_bounds(df.withColumn("y", F.abs("y")), None, "y", "s", stacked=True).first()
     assert (bounds.y_min, bounds.y_max) == (0.0, 10.0)
 

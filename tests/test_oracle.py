@@ -4,10 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from workload import load
 from tests.conftest import SF
 from tools.check import TABLES, rows_of
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = load()
 
 
 @pytest.fixture(scope="module")

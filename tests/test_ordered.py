@@ -40,8 +40,17 @@ def test_operators(ev, rows_per_slice):
 
 def test_slices_by_text_follow_text_order(spark):
     d = spark.createDataFrame([(c,) for c in ["", "a", "aa", "ab", "b", "ä", "z", "Z", "1", "10", "2"]], "t string")
-    p = d.select("t", ordered.position(d, "t").alias("p")).orderBy("t").collect()
-    assert [r.p for r in p] == sorted(r.p for r in p)
+    cut = ordered.Slices(("1", "a", "b", "z")).assign(d, "t").orderBy("t").collect()
+    assert [r[ordered.SLICE] for r in cut] == sorted(r[ordered.SLICE] for r in cut) and len({r[ordered.SLICE] for r in cut}) == 5
+
+
+def test_text_slices_with_a_long_common_prefix(spark):
+    d = spark.range(4000).select(F.format_string("Customer#%09d", "id").alias("t"))
+    s = ordered.plan_slices(d, "t", [], 400)
+    sizes = [r["count"] for r in s.assign(d, "t").groupBy(ordered.SLICE).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 800
+    got = ordered.number_rows(d, [], ["t"], "n", s).agg(F.max(F.abs(F.col("n") - 1 - F.substring("t", 10, 9).cast("int")))).first()[0]
+    assert got == 0
 
 
 def test_wall_clock_order_ignores_the_time_zone(spark):

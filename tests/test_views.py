@@ -65,7 +65,7 @@ def test_chart_data(d):
     box = view.chart_view(d, {"x": "year", "y": "a", "y_agg": None, "range": "Boxplot"})
     assert {r.year: r.q50 for r in box.collect()} == {2020: 4.0, 2021: 6.0}
     stack = view.chart_view(d, {"x": "year", "y": "a", "series": "tech", "chart_type": "Area"})
-    assert {(r.tech, r.base_pos, r.top_pos) for r in stack.collect() if r.year == 2020} == {("coal", 0.0, 9.0), ("wind", 9.0, 10.0)}
+    assert {(r.tech, r.base_pos, r.top_pos) for r in stack.collect() if r.year == 2020} == {("coal", 0.0, 9.0), ("sun", 9.0, 9.0), ("wind", 9.0, 10.0)}
     between = view.chart_view(d, {"x": "year", "y": "a", "series": "tech", "chart_type": "Line", "range": "Between Series"})
     assert {tuple(r) for r in between.collect()} == {(2020, 1.0, 9.0), (2021, -1.0, 7.0)}
 

@@ -5,6 +5,8 @@ Only the joins behind the wanted columns are made.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -98,11 +100,23 @@ def events_sql(*cols: str) -> str:
     return f"(SELECT {', '.join(f'{_EVENT[c][1]} AS {c}' for c in cols)} FROM events)"
 
 
+_LOCAL: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared directory of the cluster; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A new folder in the shared directory of the cluster.
+
+    Only a local session may go without one; its temporary folder is removed when Python ends.
+    """
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="longview-")
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="longview-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+        base = "file://" + _LOCAL[0]
     return f"{base.rstrip('/')}/longview-{uuid.uuid4().hex}"
 
 

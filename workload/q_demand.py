@@ -47,13 +47,14 @@ def _(spark, sf):
     return rounded(hourly.industrial_shares(use, geo, frac, 1999, [2000, 2001]), 8, "share")
 
 
-@query("r2_historical_use", f"""SELECT d.div, year, {r('sum(b) * 3412.1416416', 2)} AS value FROM (SELECT scenario, year, b FROM {facts_sql('scenario', 'year', 'b')} WHERE scenario IN ('1-URGENT', '2-HIGH', '5-LOW')) JOIN (VALUES ('1-URGENT', 1), ('2-HIGH', 2), ('5-LOW', 2)) d(n, div) ON n = scenario GROUP BY 1, 2""")
+@query("r2_historical_use", f"""SELECT d.div, year, {r('sum(b) * 3412.1416416', 2)} AS value FROM (SELECT scenario, year, b FROM {facts_sql('scenario', 'year', 'b')} ) JOIN (VALUES ('1-URGENT', 1), ('2-HIGH', 2), ('3-MEDIUM', 2), ('4-NOT SPECIFIED', 1), ('5-LOW', 2)) d(n, div) ON n = scenario GROUP BY 1, 2""")
 def _(spark, sf):
     f = facts(spark, sf, "scenario", "year", "b")
-    names = {"1-URGENT": "Commercial : North.East Contiguous.million kilowatthours", "2-HIGH": "Commercial : South.million kilowatthours", "5-LOW": "Commercial : West.million kilowatthours"}
+    names = {"1-URGENT": "Commercial : North.East Contiguous.million kilowatthours", "2-HIGH": "Commercial : South.million kilowatthours", "3-MEDIUM": "Commercial : Mid.West.million kilowatthours",
+             "4-NOT SPECIFIED": "Commercial : Islands.million kilowatthours", "5-LOW": "Commercial : West.million kilowatthours"}
     wide = reshape.pivot_first(f.groupBy("year", "scenario").agg(F.sum("b").alias("b")), ["year"], "scenario", "b", list(names)).withColumnsRenamed(names)
-    div = f.select(F.expr("CASE scenario WHEN '1-URGENT' THEN 'North East' WHEN '2-HIGH' THEN 'South' WHEN '5-LOW' THEN 'West' END").alias("division"),
-                   F.expr("CASE scenario WHEN '1-URGENT' THEN 1 ELSE 2 END").alias("div")).distinct().dropna()
+    div = f.select(F.expr("CASE scenario WHEN '1-URGENT' THEN 'North East' WHEN '2-HIGH' THEN 'South' WHEN '3-MEDIUM' THEN 'Mid West' WHEN '4-NOT SPECIFIED' THEN 'Islands' WHEN '5-LOW' THEN 'West' END").alias("division"),
+                   F.expr("CASE WHEN scenario IN ('1-URGENT', '4-NOT SPECIFIED') THEN 1 ELSE 2 END").alias("div")).distinct().dropna()
     return rounded(hourly.historical_use(wide, div), 2, "value")
 
 
@@ -80,8 +81,9 @@ def _(spark, sf):
 
 # Hourly demand: shapes from events by hour of the month, consumption from the line facts.
 USES = ["click", "view", "purchase"]
+EVENT_USE = "CASE WHEN tech IN ('click', 'view') THEN tech ELSE 'purchase' END"  # every event type has a use
 SHAPES = f"""ev AS MATERIALIZED {events_sql('user', 'hoy', 'tech', 'value')},
-shp AS (SELECT concat('S', user % 3) AS state, hoy AS hour, {', '.join(f"sum(CASE WHEN tech = '{u}' THEN value ELSE 0 END) / 1e4 AS {u}" for u in USES)} FROM ev GROUP BY 1, 2)"""
+shp AS (SELECT concat('S', user % 3) AS state, hoy AS hour, {', '.join(f"sum(CASE WHEN {EVENT_USE} = '{u}' THEN value ELSE 0 END) / 1e4 AS {u}" for u in USES)} FROM ev GROUP BY 1, 2)"""
 USE = f"""us AS MATERIALIZED (SELECT n_regionkey AS div, year, CASE flag WHEN 'A' THEN 'click' WHEN 'N' THEN 'view' ELSE 'purchase' END AS use, sum(b) AS v FROM {facts_sql('rb', 'year', 'flag', 'b')} JOIN nation ON n_name = rb GROUP BY 1, 2, 3)"""
 AREA = f"ar AS MATERIALIZED (SELECT sh.ba, sh.div, hour, u.use, CASE u.use WHEN 'click' THEN click WHEN 'view' THEN view ELSE purchase END * share AS x FROM shp JOIN sh ON sh.state = shp.state CROSS JOIN (VALUES ('click'), ('view'), ('purchase')) u(use))"
 PROFILE = "pr AS MATERIALIZED (SELECT ba, year, hour, sum(v * x) AS value FROM ar JOIN us ON us.div = ar.div AND us.use = ar.use GROUP BY 1, 2, 3)"
@@ -92,7 +94,7 @@ PEAK = "pk AS (SELECT ba, year, hour FROM (SELECT *, row_number() OVER (PARTITIO
 def _shapes(spark, sf):
     e = events(spark, sf, "user", "hoy", "tech", "value")
     return e.groupBy(F.expr("concat('S', user % 3)").alias("state"), F.col("hoy").alias("hour")).agg(
-        *[(F.sum(F.when(F.col("tech") == u, F.col("value")).otherwise(0)) / 1e4).alias(u) for u in USES])
+        *[(F.sum(F.when(F.expr(EVENT_USE) == u, F.col("value")).otherwise(0)) / 1e4).alias(u) for u in USES])
 
 
 def _use(spark, sf):
@@ -127,11 +129,14 @@ def _(spark, sf):
     return rounded(hourly.hourly_profile(use, shapes), 8, "value")
 
 
-@query("r6_sector_total", f"""{BASE}, e2 AS (SELECT ba, year, hour, value * 0.5 + 1 AS v2 FROM pr WHERE hour % 5 <> 0) SELECT ba, year, hour, {r('value + v2')} AS value FROM pr JOIN e2 USING (ba, year, hour)""")
+@query("r6_sector_total", f"""{BASE}, own AS (SELECT ba, year, hour, value AS v1 FROM pr),
+other AS (SELECT CAST(rb AS INTEGER) AS ba, hoy AS hour, sum(value) AS v2 FROM {events_sql('rb', 'hoy', 'value')} GROUP BY 1, 2)
+SELECT own.ba, own.year, own.hour, {r('v1 + v2 * 0.5 + 1')} AS value FROM own JOIN other ON other.ba = own.ba AND other.hour = own.hour""")
 def _(spark, sf):
     p = _profile(spark, sf)
-    other = p.filter("hour % 5 <> 0").withColumn("value", F.col("value") * 0.5 + 1)
-    return rounded(hourly.sector_total(p, other), 4, "value")
+    e = events(spark, sf, "rb", "hoy", "value").groupBy(F.col("rb").cast("int").alias("ba"), F.col("hoy").alias("hour")).agg((F.sum("value") * 0.5 + 1).alias("value"))
+    years = table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("year")).distinct()
+    return rounded(hourly.sector_total(p, joins.expand_by(e, years)), 4, "value")
 
 
 @query("r7_peak_hours", f"{BASE}, {PEAK} SELECT * FROM pk")
@@ -139,12 +144,12 @@ def _(spark, sf):
     return hourly.peak_hours(rounded(_profile(spark, sf), 9, "value"), _time_map(spark, sf))
 
 
-@query("r8_time_map", f"""{BASE}, {PEAK}, m AS (SELECT a.ba, CAST(y.year AS INTEGER) AS year, tm.hour, CASE WHEN pk.ba IS NOT NULL THEN 'H17' ELSE slice END AS slice FROM (SELECT DISTINCT ba FROM pr) a CROSS JOIN (VALUES (1998), (1999)) y(year) CROSS JOIN tm
+@query("r8_time_map", f"""{BASE}, {PEAK}, m AS (SELECT a.ba, CAST(y.year AS INTEGER) AS year, tm.hour, CASE WHEN pk.ba IS NOT NULL THEN 'H17' ELSE slice END AS slice FROM (SELECT DISTINCT ba FROM pr) a CROSS JOIN (VALUES (1998), (1999), (2000), (2001)) y(year) CROSS JOIN tm
  LEFT JOIN pk ON pk.ba = a.ba AND pk.year = y.year AND pk.hour = tm.hour)
-SELECT * FROM m UNION ALL SELECT ba, CAST(y AS INTEGER), hour, slice FROM m CROSS JOIN (VALUES (1996), (1997)) v(y) WHERE year = 1998""")
+SELECT * FROM m UNION ALL SELECT ba, CAST(y AS INTEGER), hour, slice FROM m CROSS JOIN (VALUES (1995), (1996), (1997)) v(y) WHERE year = 1998""")
 def _(spark, sf):
     p, tm = materialise(spark, rounded(_profile(spark, sf), 9, "value")), _time_map(spark, sf)
-    return hourly.time_map_by_area(tm, p, hourly.peak_hours(p, tm), [1998, 1999], 1998, [1996, 1997])
+    return hourly.time_map_by_area(tm, p, hourly.peak_hours(p, tm), [1998, 1999, 2000, 2001], 1998, [1995, 1996, 1997])
 
 
 @query("r9_slice_energy", f"""{BASE}, {PEAK} SELECT concat('p', pr.ba) AS ba, pr.year, CASE WHEN pk.ba IS NOT NULL THEN 'H17' ELSE slice END AS slice, {r('sum(value) * 0.29329722222222')} AS value

@@ -17,6 +17,7 @@ from workload.registry import query, r, rounded
 _AREAS: dict[tuple[str, str], str] = {}
 HOURLY = f"(SELECT scenario, tech, year, month, day, hour, {r('sum(value)', 2)} AS value FROM {events_sql('scenario', 'tech', 'year', 'month', 'day', 'hour', 'value')} GROUP BY 1, 2, 3, 4, 5, 6)"
 LINE = "l_orderkey long, l_linenumber int, l_returnflag string, l_quantity double"
+TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]  # all part types
 LINE_COLS = ["l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"]
 
 
@@ -145,18 +146,18 @@ def _(spark, sf):
 
 
 @query("s12_preamble_scan", f"""
-SELECT CAST(year AS INTEGER) AS year, {', '.join(f"{r(f'sum(CASE WHEN tech = {chr(39)}{t}{chr(39)} THEN a END)', 2)} AS {t}" for t in ('LARGE', 'SMALL'))} FROM {facts_sql('year', 'tech', 'a')} GROUP BY 1""")
+SELECT CAST(year AS INTEGER) AS year, {', '.join(f"{r(f'sum(CASE WHEN tech = {chr(39)}{t}{chr(39)} THEN a END)', 2)} AS {t}" for t in TYPES)} FROM {facts_sql('year', 'tech', 'a')} GROUP BY 1""")
 def _(spark, sf):
     path = f"{scratch(spark)}/sales"
     wide = rounded(reshape.pivot_first(agg.aggregate(facts(spark, sf, "year", "tech", "a"), ["year", "tech"], "sum(a)", "a"),
-                                       ["year"], "tech", "a", ["LARGE", "SMALL"]), 2, "LARGE", "SMALL")
+                                       ["year"], "tech", "a", TYPES), 2, *TYPES)
     line = F.concat_ws(",", *[F.col(c).cast("string") for c in wide.columns])
     # One line per calendar year: a single small file.
     text = wide.select(F.col("year").alias("at"), line.alias("value"))
-    head = spark.createDataFrame([(-5, "Sales"), (-4, "from,the,tables"), (-3, ""), (-2, "million"), (-1, "Year,LARGE,SMALL")], "at int, value string")
+    head = spark.createDataFrame([(-5, "Sales"), (-4, "from,the,tables"), (-3, ""), (-2, "million"), (-1, "Year," + ",".join(TYPES))], "at int, value string")
     head.unionByName(text).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
     d = csvfiles.read_with_preamble(spark, path, 4)
-    return d.select(F.col("Year").cast("int").alias("year"), F.col("LARGE").cast("double").alias("LARGE"), F.col("SMALL").cast("double").alias("SMALL"))
+    return d.select(F.col("Year").cast("int").alias("year"), *[F.col(t).cast("double").alias(t) for t in TYPES])
 
 
 @query("s13_numbered_files", "SELECT count(*) AS rows, count(*) AS numbers, true AS from_one FROM lineitem")
@@ -166,18 +167,21 @@ def _(spark, sf):
     return per.agg(F.sum("rows").alias("rows"), F.sum("numbers").alias("numbers"), (F.max("first") == 1).alias("from_one"))
 
 
-@query("s14_catalog_rollups", f"""
-SELECT 'value (Yearly)' AS result, tech, year, CAST(NULL AS INTEGER) AS month, {r('sum(CASE WHEN value < 5 THEN 0 ELSE value END)', 2)} AS value FROM {HOURLY} WHERE scenario <> 'w5' GROUP BY 1, 2, 3
-UNION ALL SELECT 'value (Monthly)', tech, year, month, {r('sum(CASE WHEN value < 5 THEN 0 ELSE value END)', 2)} FROM {HOURLY} WHERE scenario <> 'w5' GROUP BY 1, 2, 3, 4""")
+GRAIN_COLS = {"Yearly": "year", "Monthly": "year, month", "Daily": "year, month, day", "Hourly": "year, month, day, hour"}
+
+
+@query("s14_catalog_rollups", " UNION ALL ".join(
+    f"SELECT 'value ({g})' AS result, tech, year, {', '.join(c if c in k else f'CAST(NULL AS INTEGER) AS {c}' for c in ('month', 'day', 'hour'))}, {r('sum(CASE WHEN value < 5 THEN 0 ELSE value END)', 2)} AS value "
+    f"FROM {HOURLY} WHERE scenario <> 'w5' GROUP BY tech, {k}" for g, k in GRAIN_COLS.items()))
 def _(spark, sf):
     cat = _catalog(spark, sf)
     found = scenarios.discover_scenarios(spark, f"{area(spark, sf)}/runs")
     out = []
-    for name in ("value (Yearly)", "value (Monthly)"):
-        d = scenarios.read_result(spark, found, {k: v for k, v in cat[name].items() if k not in ("index", "columns")})
-        keys = [c for c in d.columns if c in ("tech", "year", "month")]
-        out.append(agg.aggregate(d, keys, "sum(a)", "value").withColumn("result", F.lit(name)))
-    return rounded(reshape.union_by_name(*out), 2, "value").select("result", "tech", "year", "month", "value")
+    for grain in GRAIN_COLS:
+        d = scenarios.read_result(spark, found, {k: v for k, v in cat[f"value ({grain})"].items() if k not in ("index", "columns")})
+        keys = [c for c in d.columns if c in ("tech", "year", "month", "day", "hour")]
+        out.append(agg.aggregate(d, keys, "sum(a)", "value").withColumn("result", F.lit(f"value ({grain})")))
+    return rounded(reshape.union_by_name(*out), 2, "value").select("result", "tech", "year", "month", "day", "hour", "value")
 
 
 @query("s15_unique_tables", f"SELECT 'gen.csv' AS name, (SELECT count(*) FROM {HOURLY} WHERE scenario = 'w5') AS rows")
@@ -389,13 +393,39 @@ def _(spark, sf):
 def _(spark, sf):
     from longview.plans import view
     d = facts(spark, sf, "tech", "year", "a")
-    bases = view.base_options(d.filter("tech <> 'PROMO'"), "tech").filter("position = 2")
-    known = [x[1] for x in bases.limit(1000).collect()]
-    roles = project.column_roles(d)
-    kinds = [x[0] for x in d.select("tech").distinct().limit(1000).collect()]
-    rows = []
-    for k in kinds:
-        spec = ViewSpec(x="year", y="a", series="tech", adv_op="Difference", adv_col="tech", adv_col_base=k)
-        problems = view.validate(spec, roles, {"tech": known})
-        rows.append((f"base {k} of tech: {'unknown' if problems else 'fine'}",))
-    return spark.createDataFrame(rows, "outcome string")
+    kinds = d.select(F.col("tech").cast("string").alias("value")).distinct()
+    unknown = view.unknown_bases(kinds, d.filter("tech <> 'PROMO'"), "tech")
+    outcome = F.when(F.col("unknown"), "unknown").otherwise("fine")
+    return unknown.select(F.concat(F.lit("base "), F.col("value"), F.lit(" of tech: "), outcome).alias("outcome"))
+
+
+def _report_mode(mode):
+    def f(spark, sf):
+        d = facts(spark, sf, "scenario", "tech", "year", "a")
+        preset = {"value": {"presets": {"lines": {"x": "year", "y": "a", "series": "tech", "explode": "scenario"}}}}
+        sections = [{"name": "Value", "result": "value", "preset": "lines", "sheet_name": "v", "config": {"y_scale": 1e-6}}]
+        done = report.run_report(spark, lambda name: d, sections, scratch(spark), mode, "1-URGENT", preset, fmt="parquet")
+        parts = [spark.read.parquet(x.path).withColumn("section", F.lit(x.path.rsplit("/", 1)[1].removesuffix(".parquet"))) for x in done]
+        return rounded(reshape.union_by_name(*parts), 8, "a")
+    return f
+
+
+_SCALED = f"WITH g AS (SELECT scenario, tech, year, sum(a) / 1e6 AS a FROM {facts_sql('scenario', 'tech', 'year', 'a')} GROUP BY 1, 2, 3)"
+_DIFF = f"SELECT 'v_diff' AS section, g.scenario, g.tech, g.year, {r('g.a - coalesce(b.a, 0)', 8)} AS a FROM g LEFT JOIN g b ON b.scenario = '1-URGENT' AND b.tech = g.tech AND b.year = g.year WHERE g.scenario <> '1-URGENT'"
+query("x6_report_diff_only", f"{_SCALED} {_DIFF}")(_report_mode("Diff Only"))
+query("x6_report_yes", f"{_SCALED} {_DIFF} UNION ALL SELECT 'v', scenario, tech, year, {r('a', 8)} FROM g")(_report_mode("Yes"))
+
+
+@query("s5_equal_run_names", f"SELECT CASE scenario WHEN 'w1' THEN 'a/run' ELSE 'b/run' END AS scenario, {r('sum(value)', 2)} AS value FROM {HOURLY} WHERE scenario IN ('w1', 'w2') GROUP BY 1")
+def _(spark, sf):
+    base = scratch(spark)
+    d = events(spark, sf, "scenario", "tech", "year", "month", "day", "hour", "value")
+    hourly = rounded(agg.sum_over(d, ["scenario", "tech", "year", "month", "day", "hour"], val_cols=["value"]), 2, "value")
+    for s, parent in (("w1", "a"), ("w2", "b")):
+        sinks.write_csv(hourly.filter(F.col("scenario") == s).drop("scenario"), f"{base}/{parent}/run/outputs/gen.csv")
+        sinks.write_marker(spark, f"{base}/{parent}/run/outputs/BP.csv")
+    found = scenarios.discover_scenarios(spark, f"{base}/a|{base}/b")
+    store = scenarios.ResultStore(spark, {"value": {"file": "gen.csv"}})
+    store.load("value", found[:1])
+    d = store.load("value", found).groupBy("scenario").agg(F.sum("value").alias("value"))
+    return rounded(d, 2, "value")

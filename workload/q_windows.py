@@ -99,12 +99,13 @@ def _(spark, sf):
 
 
 @query("w8_stack_levels", f"""
-SELECT rb, segment, y, {r('pos - CASE WHEN y > 0 THEN y ELSE 0 END', 2)} AS base_pos, {r('pos', 2)} AS top_pos, {r('neg - CASE WHEN y < 0 THEN y ELSE 0 END', 2)} AS base_neg, {r('neg', 2)} AS top_neg FROM
-(SELECT *, sum(CASE WHEN y > 0 THEN y ELSE 0 END) OVER w AS pos, sum(CASE WHEN y < 0 THEN y ELSE 0 END) OVER w AS neg FROM {BALANCES}
+WITH g AS (SELECT * FROM {BALANCES} WHERE length(rb) % 2 = 0 OR segment <> 'BUILDING'), f AS (SELECT rb, segment, coalesce(g.y, 0) AS y FROM (SELECT DISTINCT rb FROM g) CROSS JOIN (SELECT DISTINCT segment FROM g) LEFT JOIN g USING (rb, segment))
+SELECT rb, segment, {r('y', 2)} AS y, {r('pos - CASE WHEN y > 0 THEN y ELSE 0 END', 2)} AS base_pos, {r('pos', 2)} AS top_pos, {r('neg - CASE WHEN y < 0 THEN y ELSE 0 END', 2)} AS base_neg, {r('neg', 2)} AS top_neg FROM
+(SELECT *, sum(CASE WHEN y > 0 THEN y ELSE 0 END) OVER w AS pos, sum(CASE WHEN y < 0 THEN y ELSE 0 END) OVER w AS neg FROM f
  WINDOW w AS (PARTITION BY rb ORDER BY segment))""")
 def _(spark, sf):
-    d = prep.stack_levels(_balances(spark, sf), "rb", "y", "segment")
-    return rounded(d, 2, "base_pos", "top_pos", "base_neg", "top_neg")
+    d = _balances(spark, sf).filter("length(rb) % 2 = 0 OR segment <> 'BUILDING'")  # leaves missing pairs
+    return rounded(prep.stack_levels(d, "rb", "y", "segment"), 2, "y", "base_pos", "top_pos", "base_neg", "top_neg")
 
 
 @query("w9_net_line", f"SELECT rb, {r('sum(y)', 2)} AS net FROM {BALANCES} GROUP BY 1")
