@@ -192,10 +192,10 @@ def weighted_sum(df: DataFrame, by: list[str], value: str, weight: str, out: str
 def argmax_rows(df: DataFrame, by: list[str], measure: str) -> DataFrame:
     """Rows holding the largest ``measure`` of their key; ties are all kept.
 
-    The rank limit is applied before the shuffle as well as after it.
+    The maximum is aggregated and joined back, so ties of a hot key need not meet in one task.
     """
-    w = Window.partitionBy(*by).orderBy(F.col(measure).desc())
-    return df.withColumn("__rk", F.rank().over(w)).filter(F.col("__rk") == 1).drop("__rk")
+    top = attach(df, by, df.groupBy(*by).agg(F.max(measure).alias("__top")), ["__top"])
+    return top.filter(F.col(measure).eqNullSafe(F.col("__top"))).drop("__top")
 
 
 def complete_categories(df: DataFrame, by: list[str], category: str, value: str) -> DataFrame:

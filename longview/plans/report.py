@@ -6,7 +6,6 @@ import copy
 import logging
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from longview.plans.view import ViewSpec, run_view
@@ -84,8 +83,8 @@ def run_report(spark, source, sections: list[dict], out: str, mode: str = "No",
     """Write one table per section into a new folder below ``out``.
 
     ``source`` is a DataFrame, or a function from a result name to its DataFrame.
-    Every source used by several sections is persisted once.  A section that fails is
-    logged and skipped.
+    Each section reads only its own columns and filters from its source, so nothing is
+    kept between sections.  A section that fails is logged and skipped.
     """
     target = f"{out}/report-{sinks.stamp(now)}"
     plan = expand_report(sections, mode, base)
@@ -100,8 +99,7 @@ def run_report(spark, source, sections: list[dict], out: str, mode: str = "No",
             config = section_config(section, catalog, base)
             key = config.get("result")
             if key not in loaded:
-                df = source(key) if callable(source) else source
-                loaded[key] = df.persist(StorageLevel.MEMORY_AND_DISK) if len(plan) > 1 else df
+                loaded[key] = source(key) if callable(source) else source
             data = loaded[key]
             if not section.get("download_full_source"):
                 data = run_view(data, ViewSpec.from_dict(config), orders)
@@ -110,7 +108,4 @@ def run_report(spark, source, sections: list[dict], out: str, mode: str = "No",
         except Exception as e:  # a broken section must not stop the others
             log.warning("section %s failed: %s", section.get("name"), e)
             done.append(SectionResult(section.get("name", str(i)), None, str(e)))
-    if len(plan) > 1:
-        for df in loaded.values():
-            df.unpersist()
     return done

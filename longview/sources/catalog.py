@@ -48,11 +48,15 @@ def build_catalog(spark: SparkSession, root: str, grains=aggregate.GRAINS, scale
     Only headers are read.  Equal value names of different files get the file name
     as a prefix instead of overwriting each other.
     """
-    tables: dict[str, list[str]] = {}
+    paths: dict[str, str] = {}
     for path in csvfiles.tables_of(spark, root):
         table = path.rsplit("/", 1)[1]
-        if table != marker and table not in tables:
-            tables[table] = spark.read.option("header", True).csv(path).columns
+        if table != marker:
+            paths.setdefault(table, path)
+    tables: dict[str, list[str]] = {}
+    for same in csvfiles.by_header(spark, list(paths.values())).values() if paths else []:
+        columns = spark.read.option("header", True).csv(same[0]).columns
+        tables.update((path.rsplit("/", 1)[1], columns) for path in same)
     entries: dict[str, dict] = {}
     for table, columns in sorted(tables.items()):
         for key, meta in describe_file(table, columns, grains, scale).items():

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -43,11 +45,23 @@ def file_name(ext: str = "csv"):
     return F.regexp_extract(F.col("_metadata.file_name"), rf"(.*)\.{ext}$", 1)
 
 
-def by_header(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files grouped by their header line, so that each group can be one scan."""
-    groups: dict[tuple[str, ...], list[str]] = {}
+def by_header(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
+    """Files (or folders of part files) grouped by their header line, so that each group can be one scan.
+
+    All headers come from one job that keeps the first line of each file's first block.
+    """
+    plain = lambda p: re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", p).rstrip("/")
+    lines = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+                                          F.monotonically_increasing_id().alias("id"))
+    first = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "id").alias("header")).collect()
+    header = {}
+    for r in first:
+        path = plain(unquote(r["path"]))
+        header[path] = r["header"]
+        header.setdefault(path.rsplit("/", 1)[0], r["header"])
+    groups: dict[str, list[str]] = {}
     for f in files:
-        groups.setdefault(tuple(spark.read.option("header", True).csv(f).columns), []).append(f)
+        groups.setdefault(header.get(plain(f), ""), []).append(f)
     return groups
 
 
@@ -59,7 +73,7 @@ def scan(spark: SparkSession, files: list[str], schema=None, infer: bool = True,
     inference pass over the data is needed.
     """
     if schema is not None or not header:
-        groups = {(): files}
+        groups = {"": files}
     else:
         groups = by_header(spark, files)
     frames = []
@@ -118,7 +132,7 @@ def read_with_preamble(spark: SparkSession, path: str, skip: int, schema=None) -
 def read_numbered(spark: SparkSession, root: str, order_col: str = "HourID", schema=None) -> DataFrame:
     """One file per key: rows numbered in file order from 1 and tagged with the file stem."""
     files = paths_of(spark, root, recursive=False)
-    groups = {(): files} if schema is not None else by_header(spark, files)
+    groups = {"": files} if schema is not None else by_header(spark, files)
     frames = []
     for paths in groups.values():
         reader = spark.read.option("header", True)

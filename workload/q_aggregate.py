@@ -194,7 +194,7 @@ _YEARS = list(range(1995, 2002))
 SELECT tech, {', '.join(f'{r(f"avg(CASE WHEN year = {y} THEN a END)")} AS "{y}"' for y in _YEARS)}
 FROM {facts_sql('tech', 'year', 'a')} GROUP BY 1""")
 def _(spark, sf):
-    d = reshape.pivot_mean(facts(spark, sf, "tech", "year", "a"), ["tech"], "year", "a", _YEARS)
+    d = reshape.pivot_mean(facts(spark, sf, "tech", "year", "a"), ["tech"], "year", "a")
     return rounded(d, 4, *[str(y) for y in _YEARS])
 
 

@@ -121,10 +121,10 @@ def _(spark, sf):
     return rounded(rounded(d, 2, "y"), 4, "arrow_x", "arrow_y")
 
 
-@query("j14_natural_join", "SELECT nationkey, c_custkey, s_suppkey FROM (SELECT c_nationkey AS nationkey, c_custkey FROM customer) JOIN (SELECT s_nationkey AS nationkey, s_suppkey FROM supplier) USING (nationkey)")
+@query("j14_natural_join", "SELECT nationkey, c_custkey, suppliers FROM (SELECT c_nationkey AS nationkey, c_custkey FROM customer) JOIN (SELECT s_nationkey AS nationkey, count(*) AS suppliers FROM supplier GROUP BY 1) USING (nationkey)")
 def _(spark, sf):
     a = table(spark, sf, "customer").select(F.col("c_nationkey").alias("nationkey"), "c_custkey")
-    b = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nationkey"), "s_suppkey")
+    b = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nationkey")).agg(F.count(F.lit(1)).alias("suppliers"))  # one row per key
     return joins.natural_join(a, b, "inner")
 
 
