@@ -63,7 +63,8 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, keep_first:
     """
     lines = written(occurrences(docs, site_col, id_col, text_col))
     found = written(line_spread(lines, min_sites).select("h1", "h2"))
-    hits = lines.join(found, ["h1", "h2"]).select("h1", "h2", "id", "text_hash", "pos")
+    # Written before anything else needs its key together, so that the join may split a line that is everywhere.
+    hits = written(lines.join(found, ["h1", "h2"]).select("h1", "h2", "id", "text_hash", "pos"))
     if keep_first:
         first = written(hits.groupBy("h1", "h2").agg(F.min(F.struct("id", "text_hash", "pos")).alias("first")))
         hits = hits.join(first, ["h1", "h2"]).filter(~F.struct("id", "text_hash", "pos").eqNullSafe(F.col("first")))
