@@ -44,7 +44,8 @@ def line_spread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     spread = written(named.groupBy("h1", "h2").agg(estimate).filter(F.col("estimate") >= min_sites * (1 - MARGIN)))
     sure = spread.filter(F.col("estimate") > min_sites * (1 + MARGIN)).select("h1", "h2", F.lit(None).cast("long").alias("sites"), "estimate")
     near = written(spread.filter(F.col("estimate") <= min_sites * (1 + MARGIN)))
-    pairs = named.join(near, ["h1", "h2"]).groupBy("h1", "h2", "site").agg(F.first("estimate").alias("estimate"))
+    pairs = written(named.join(near, ["h1", "h2"]))  # written first: the join may then split a line that is everywhere
+    pairs = pairs.groupBy("h1", "h2", "site").agg(F.first("estimate").alias("estimate"))
     exact = pairs.groupBy("h1", "h2").agg(F.count("*").alias("sites"), F.first("estimate").alias("estimate")).filter(F.col("sites") >= min_sites)
     return sure.unionByName(exact)
 
