@@ -28,6 +28,8 @@ SHARE, FACTOR, CUT = 0.75, 1.485, 23.51
 #: Smaller groups are pooled: sources of a language, then languages.
 LEAST_ROWS = 100
 STEPS = 8
+#: Parts that the rows of a group are dealt into when its estimate joins them.
+SALTS = 32
 
 
 def text_statistics(text: str) -> tuple[int, int, int, int, int]:
@@ -88,6 +90,11 @@ def _pooled(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def _met(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """``rows`` beside the estimate of their group, with every group's rows dealt over SALTS parts."""
+    return rows.join(params.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["grp", "salt"])
+
+
 def _middle(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
     """Median of each value per group, from exact counts in bins of 1/BINS."""
     long = rows.select("grp", F.explode(F.create_map(*[x for f, v in values.items() for x in (F.lit(f), F.floor(v * BINS / UNIT))])).alias("f", "bin"))
@@ -124,7 +131,7 @@ def _least(i: int) -> float:
 def _start(rows: DataFrame) -> DataFrame:
     """Medians, and scatter from the medians of the absolute deviations."""
     centre = written(_middle(rows, {f: F.col(f) for f in FEATURES}))
-    off = _middle(rows.join(centre, "grp"), {f: F.abs(F.col(f) - F.col(f"m_{f}")) for f in FEATURES})
+    off = _middle(_met(rows, centre), {f: F.abs(F.col(f) - F.col(f"m_{f}")) for f in FEATURES})
     off = off.select("grp", *[F.col(f"m_{f}").alias(f"a_{f}") for f in FEATURES])
     params = centre.join(off, "grp")
     for i, j in PAIRS:
@@ -136,7 +143,7 @@ def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
     """One concentration step."""
     bin_ = F.floor(F.log2(F.col("distance") + 1e-6) * BINS).alias("bin")
     moments = [F.sum(f).alias(f"x_{f}") for f in FEATURES] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"xx_{i}_{j}") for i, j in PAIRS]
-    bins = _distance(rows.join(params, "grp")).groupBy("grp", bin_).agg(F.count("*").alias("n"), *moments)
+    bins = _distance(_met(rows, params)).groupBy("grp", bin_).agg(F.count("*").alias("n"), *moments)
     w = Window.partitionBy("grp")
     bins = bins.withColumn("_below", F.sum("n").over(w.orderBy("bin")) - F.col("n")).withColumn("_all", F.sum("n").over(w))
     half = bins.filter(F.col("_below") < F.ceil(F.col("_all") * SHARE))
@@ -175,14 +182,15 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), s.alias("s")).select("id", "lang", "source", "s.*")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = written(rows.withColumn("base_failed", failed))
-    sound = written(_pooled(rows.filter(~F.col("base_failed")).withColumns(_vector())))
-    narrow = sound.select("grp", *FEATURES)
+    sound = _pooled(rows.filter(~F.col("base_failed")).withColumns(_vector()))
+    sound = written(sound.withColumn("salt", F.pmod(F.xxhash64("id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")))
+    narrow = sound.select("grp", "salt", *FEATURES)
     params = _start(narrow)
     for _ in range(STEPS):
         before, params = params, _step(narrow, params)
         if _same(params, before):
             break
-    judged = _distance(sound.join(params, "grp")).withColumn("kept", F.col("distance") <= CUT)
+    judged = _distance(_met(sound, params)).withColumn("kept", F.col("distance") <= CUT)
     columns = ["id", *COUNTS, "base_failed"]
     out = judged.select(*columns, "distance", "kept").union(
         rows.filter("base_failed").select(*columns, F.lit(None).cast("double"), F.lit(False)))

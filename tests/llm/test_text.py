@@ -194,11 +194,11 @@ def test_estimate_is_a_concentrated_one(spark):
     rnd = np.random.default_rng(0)
     x = np.round(rnd.normal(size=(400, 4)) @ np.diag([300, 200, 400, 500])).astype(int)
     x[:80] += 9000
-    rows = spark.createDataFrame([(1, *map(int, r)) for r in x], "grp long, " + ", ".join(f"{f} long" for f in quality.FEATURES))
+    rows = spark.createDataFrame([(1, i % quality.SALTS, *map(int, r)) for i, r in enumerate(x)], "grp long, salt int, " + ", ".join(f"{f} long" for f in quality.FEATURES))
     params = quality._start(rows)
     for _ in range(quality.STEPS):
         params = quality._step(rows, params)
-    d = np.array([r.distance for r in quality._distance(rows.join(params, "grp")).orderBy(*quality.FEATURES).collect()])
+    d = np.array([r.distance for r in quality._distance(quality._met(rows, params)).orderBy(*quality.FEATURES).collect()])
     x = x[np.lexsort(x.T[::-1])]
     half = x[np.argsort(d)[:300]].astype(float)
     off = x - half.mean(axis=0)
