@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from longview.llm.common import written
 from longview.llm.components import components
 
+#: Fingerprints that one task puts under all their keys, at most on average.
+INDEXED_AT_ONCE = 250_000
+
 
 def simhash(text: str, shingle: int = 3) -> int:
     """Signed 64-bit fingerprint of the lower-cased (A-Z) words of a text; 0 without words."""
@@ -89,12 +92,14 @@ def _stars(members: np.ndarray, positions: tuple[int, ...], bits: int) -> list[t
 
 
 def links(prints: DataFrame, bits: int = 2) -> DataFrame:
-    """Links (u, v) between distinct fingerprints (column fp) such that what is within ``bits`` bits is connected."""
+    """Links (u, v) between distinct fingerprints (column fp, best written before) such that what is within ``bits`` bits is connected."""
     if not 0 <= bits <= 3:
         raise ValueError("0 to 3 bits")
     choices = _left_out(bits)
     keys = F.array(*[F.col("fp").bitwiseAND(F.lit(_mask(c))) for c in choices])
-    index = prints.select("fp", F.posexplode(keys).alias("choice", "shared"))
+    # Each fingerprint becomes as many rows as there are keys, so tasks sized by what they read would be far too few.
+    tasks = max(prints.sparkSession.sparkContext.defaultParallelism, -(-prints.count() // INDEXED_AT_ONCE))
+    index = prints.select("fp").repartition(tasks, "fp").select("fp", F.posexplode(keys).alias("choice", "shared"))
     met = index.groupBy("choice", "shared").agg(F.collect_list("fp").alias("members")).filter("size(members) > 1").select("choice", "members")
 
     @F.pandas_udf("array<struct<u:long,v:long>>")
