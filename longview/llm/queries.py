@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from longview.llm import clustering, exact_dedup, html_text, jaccard, line_dedup, mixing, packing, pii, quality, sharding, simhash, toxicity
+from longview.llm import clustering, conversations, exact_dedup, html_text, jaccard, line_dedup, mixing, packing, pii, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,12 +15,14 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_quality": quality.op9_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
     "op12_centroid_clustering": clustering.op12_centroid_clustering,
     "op13_ngram_jaccard": jaccard.op13_ngram_jaccard,
 }
 SQL = {
     "op2_line_dedup": line_dedup.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_conversation_repair": conversations.SQL,
     "op12_centroid_clustering": clustering.SQL,
     "op13_ngram_jaccard": jaccard.SQL,
 }
