@@ -344,9 +344,9 @@ h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS
 d AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
       CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS copy
       FROM h WHERE code <> 0),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS time,
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
       left(role, 1) AS init, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM d),
-k AS MATERIALIZED (SELECT *, CASE WHEN bare = '' THEN 1 WHEN time > 1 THEN 2 WHEN right(bare, 1) IN ('.', '!', '?') THEN 0 ELSE 3 END AS kind,
+k AS MATERIALIZED (SELECT *, CASE WHEN bare = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN right(bare, 1) IN ('.', '!', '?') THEN 0 ELSE 3 END AS kind,
       lag(init) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM n),
 w AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 'r': CAST([] AS VARCHAR[])}} AS v0, {none} AS v1, {none} AS v2, {none} AS v3 FROM k
       UNION ALL SELECT conv_id, i, {step} FROM (SELECT k.*, {closed} FROM w JOIN k ON k.conv_id IS NOT DISTINCT FROM w.conv_id AND k.i = w.i + 1)),
