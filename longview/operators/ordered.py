@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from longview.functions import scalars as S
 from longview.operators.common import attach, group_count
 
 SLICE = "__slice"
+HALO = "__halo"
 _POS = "__position"
 ROWS_PER_SLICE = 2_000_000
 # Accuracy of the sketch that places numeric cut points; texts drawn per slice to place text ones.
@@ -67,16 +69,16 @@ def position(df: DataFrame, column: str) -> Column:
 
 
 def plan_slices(df: DataFrame, order: str, by: list[str] | None = None,
-                rows_per_slice: int = ROWS_PER_SLICE) -> Slices:
+                rows_per_slice: int = ROWS_PER_SLICE, least: int = 1) -> Slices:
     """Choose cut points so that no slice holds much more than ``rows_per_slice`` rows.
 
-    Small inputs get a single slice after one counting job.  Larger ones take one
+    Small inputs get a single slice (or ``least`` of them) after one counting job.  Larger ones take one
     sketch job over the order column; ``by`` adds an estimate of the number of groups
     to it, so that a small summary can be broadcast.
     """
     n = df.count()
-    parts = -(-n // rows_per_slice)
-    if parts <= 1:
+    parts = max(-(-n // rows_per_slice), least)
+    if parts <= 1 or not n:
         return Slices()
     if isinstance(df.schema[order].dataType, T.StringType):
         return Slices(_text_bounds(df, order, n, parts), None if by is None else group_count(df, by) if by else 1)
@@ -113,6 +115,7 @@ def _per_slice(df: DataFrame, by: list[str], aggs: list[Column], carried: dict[s
 
 
 _BEFORE = (Window.unboundedPreceding, -1)
+_AFTER = (1, Window.unboundedFollowing)
 
 
 def number_rows(df: DataFrame, by: list[str], order: list[str], out: str,
@@ -177,6 +180,101 @@ def fill_forward(df: DataFrame, y: str, by: list[str], order: list[str], out: st
                 .drop(SLICE, "__prev"))
 
 
+def fill_backward(df: DataFrame, y: str, by: list[str], order: list[str], out: str,
+                  slices: Slices | None = None) -> DataFrame:
+    """The next known ``y`` at or after each row of the group."""
+    slices = plan_slices(df, order[0], by) if slices is None else slices
+    if not slices.bounds:
+        w = _plain(by, order).rowsBetween(0, Window.unboundedFollowing)
+        return df.withColumn(out, F.first(y, True).over(w))
+    cut = slices.assign(df, order[0])
+    known = F.min_by(F.when(F.col(y).isNotNull(), F.struct(y)),
+                     F.when(F.col(y).isNotNull(), F.struct(*order))).alias("__known")
+    carry = _per_slice(cut, by, [known], {"__next": ("first(__known, true)", _AFTER)})
+    w = _window(by, order).rowsBetween(0, Window.unboundedFollowing)
+    both = attach(cut.withColumn(out, F.first(y, True).over(w)), [*by, SLICE], carry, ["__next"], slices.summary_rows)
+    return (both.withColumn(out, F.coalesce(F.col(out), F.col("__next").getField(y)))
+                .drop(SLICE, "__next"))
+
+
+def with_halo(df: DataFrame, by: list[str], order: list[str], carried: list[str], rows: int, slices: Slices) -> DataFrame:
+    """Sliced rows, each slice led by copies of the ``rows`` rows before it in its group.
+
+    Copies are marked in ``HALO`` and hold the keys, the order and the ``carried`` columns.  A slice lends its last
+    ``rows`` rows to each slice that starts within that distance: to the next one, and where slices are shorter to
+    several.  Which these are follows from the sizes of slices alone, so a window of fixed length sees its whole frame
+    without the group in one place.
+    """
+    cut = slices.assign(df, order[0])
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    ends = cut.groupBy(*by, SLICE).agg(F.count(F.lit(1)).alias("__n"))
+    ends = ends.select(*by, SLICE, F.sum("__n").over(group.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, 0)).alias("__end"),
+                       F.lead(SLICE).over(group.orderBy(SLICE)).alias("__next"))
+    starts = F.collect_list(F.when(F.col("__next").isNotNull(), F.struct("__next", "__end"))).over(group.orderBy("__end").rangeBetween(0, rows - 1))
+    ends = ends.select(*by, SLICE, "__end", starts.alias("__starts"))
+    back = Window.partitionBy(*by, SLICE).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    last = cut.select(*by, SLICE, *order, *carried).withColumn("__back", F.row_number().over(back)).filter(F.col("__back") <= rows)
+    last = attach(last, [*by, SLICE], ends, ["__end", "__starts"], slices.summary_rows)
+    lent = last.select("*", F.explode("__starts").alias("__start")).filter(F.col("__end") - F.col("__back") + rows >= F.col("__start.__end"))
+    lent = lent.select(*by, F.col("__start.__next").alias(SLICE), *order, *carried)
+    return cut.withColumn(HALO, F.lit(False)).unionByName(lent.withColumn(HALO, F.lit(True)), allowMissingColumns=True)
+
+
+def _in_halo(df: DataFrame, y: str, by: list[str], order: list[str], out: str, rows: int, slices: Slices, value) -> DataFrame:
+    """``value`` (a function of a window) over the last ``rows`` rows and the current one."""
+    kept = [*df.columns, *([] if out in df.columns else [out])]
+    led = with_halo(df, by, order, [y], rows, slices)
+    # Copies come from earlier slices; with equal order values they still lead.
+    w = Window.partitionBy(*by, SLICE).orderBy(F.col(HALO).desc(), *order).rowsBetween(-rows, 0)
+    return led.withColumn(out, value(w)).filter(~F.col(HALO)).select(*kept)
+
+
+def rolling_sum(df: DataFrame, y: str, by: list[str], order: list[str], n: int, out: str,
+                slices: Slices | None = None) -> DataFrame:
+    """Sum of ``y`` over the last ``n`` rows of the group; null unless all ``n`` are there and known."""
+    slices = plan_slices(df, order[0], by) if slices is None else slices
+    value = lambda w: F.when(F.count(y).over(w) == n, F.sum(y).over(w))
+    if not slices.bounds or n == 1:
+        return df.withColumn(out, value(_plain(by, order).rowsBetween(-(n - 1), 0)))
+    return _in_halo(df, y, by, order, out, n - 1, slices, value)
+
+
+def fill_limited(df: DataFrame, y: str, by: list[str], order: list[str], limit: int, out: str,
+                 slices: Slices | None = None) -> DataFrame:
+    """The latest known ``y`` of the current row and the ``limit`` rows before it."""
+    slices = plan_slices(df, order[0], by) if slices is None else slices
+    value = lambda w: F.last(y, True).over(w)
+    if not slices.bounds or limit == 0:
+        return df.withColumn(out, value(_plain(by, order).rowsBetween(-limit, 0)))
+    return _in_halo(df, y, by, order, out, limit, slices, value)
+
+
+def interpolate(df: DataFrame, y: str, by: list[str], order: list[str], out: str,
+                slices: Slices | None = None) -> DataFrame:
+    """Linear interpolation by row position; a gap at the end keeps the last known value, one at the start stays null."""
+    slices = plan_slices(df, order[0], by) if slices is None else slices
+    w = _window(by, order) if slices.bounds else _plain(by, order)
+    known = F.when(F.col(y).isNotNull(), F.struct(F.col("__i").alias("i"), F.col(y).cast("double").alias("v")))
+    local = ((slices.assign(df, order[0]) if slices.bounds else df).withColumn("__i", F.row_number().over(w).cast("long"))
+             .withColumn("__a", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+             .withColumn("__b", F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))))
+    i, a, b = F.col("__i"), F.col("__a"), F.col("__b")
+    if slices.bounds:
+        group = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(SLICE)
+        ends = local.groupBy(*by, SLICE).agg(F.max("__i").alias("__n"), F.max(known).alias("__last"), F.min(known).alias("__first"))
+        ends = ends.withColumn("__rows", F.coalesce(F.sum("__n").over(group.rowsBetween(*_BEFORE)), F.lit(0)))
+        at = lambda k: F.when(k.isNotNull(), F.struct((k["i"] + F.col("__rows")).alias("i"), k["v"].alias("v")))
+        ends = ends.select(*by, SLICE, "__rows", F.last(at(F.col("__last")), True).over(group.rowsBetween(*_BEFORE)).alias("__prev"),
+                           F.first(at(F.col("__first")), True).over(group.rowsBetween(*_AFTER)).alias("__next"))
+        local = attach(local, [*by, SLICE], ends, ["__rows", "__prev", "__next"], slices.summary_rows)
+        i, a, b = i + F.col("__rows"), F.coalesce(at(a), F.col("__prev")), F.coalesce(at(b), F.col("__next"))
+    step = S.ratio(i - a["i"], b["i"] - a["i"])
+    value = (F.when(F.col(y).isNotNull(), F.col(y).cast("double"))
+              .when(b.isNull(), a["v"])
+              .otherwise(a["v"] + (b["v"] - a["v"]) * step))
+    return local.withColumn(out, value).drop(SLICE, "__i", "__a", "__b", "__rows", "__prev", "__next")
+
+
 def values_at_ranks(df: DataFrame, y: str, by: list[str], ranks: dict, slices: Slices | None = None,
                     distinct: bool = False) -> DataFrame:
     """Exact order statistics: the value at each wanted 0-based rank of every group.

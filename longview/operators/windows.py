@@ -32,43 +32,30 @@ def running_sum(df: DataFrame, y: str, by: list[str], order: list[str], out: str
     return df.withColumn(out, F.sum(y).over(_over(by, order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def rolling_sum(df: DataFrame, y: str, by: list[str], order: list[str], n: int, out: str | None = None) -> DataFrame:
+def rolling_sum(df: DataFrame, y: str, by: list[str], order: list[str], n: int, out: str | None = None, slices=None) -> DataFrame:
     """Sum of the last ``n`` rows; null until ``n`` known values are there."""
-    w = _over(by, order).rowsBetween(-(n - 1), 0)
-    return df.withColumn(out or y, F.when(F.count(y).over(w) == n, F.sum(y).over(w)))
+    return ordered.rolling_sum(df, y, by, order, n, out or y, slices or ordered.Slices())
 
 
 def ffill(df: DataFrame, y: str, by: list[str], order: list[str], limit: int | None = None,
           out: str | None = None, slices=None) -> DataFrame:
     """Forward fill, at most ``limit`` rows past the last known value."""
-    out = out or y
-    if slices is not None and limit is None:
-        return ordered.fill_forward(df, y, by, order, out, slices)
-    first = Window.unboundedPreceding if limit is None else -limit
-    return df.withColumn(out, F.last(y, True).over(_over(by, order).rowsBetween(first, 0)))
+    slices = slices or ordered.Slices()
+    if limit is None:
+        return ordered.fill_forward(df, y, by, order, out or y, slices)
+    return ordered.fill_limited(df, y, by, order, limit, out or y, slices)
 
 
-def bfill(df: DataFrame, y: str, by: list[str], order: list[str], out: str | None = None) -> DataFrame:
-    w = _over(by, order).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn(out or y, F.first(y, True).over(w))
+def bfill(df: DataFrame, y: str, by: list[str], order: list[str], out: str | None = None, slices=None) -> DataFrame:
+    return ordered.fill_backward(df, y, by, order, out or y, slices or ordered.Slices())
 
 
-def interpolate(df: DataFrame, y: str, by: list[str], order: str, out: str | None = None) -> DataFrame:
+def interpolate(df: DataFrame, y: str, by: list[str], order: str | list[str], out: str | None = None, slices=None) -> DataFrame:
     """Linear interpolation by row position on a complete axis.
 
     A gap at the end keeps the last known value; a gap at the start stays null.
     """
-    w = _over(by, [order])
-    known = F.when(F.col(y).isNotNull(), F.struct(F.col("__i").alias("i"), F.col(y).cast("double").alias("v")))
-    d = (df.withColumn("__i", F.row_number().over(w))
-           .withColumn("__a", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-           .withColumn("__b", F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))))
-    a, b = F.col("__a"), F.col("__b")
-    step = S.ratio(F.col("__i") - a["i"], b["i"] - a["i"])
-    value = (F.when(F.col(y).isNotNull(), F.col(y).cast("double"))
-              .when(b.isNull(), a["v"])
-              .otherwise(a["v"] + (b["v"] - a["v"]) * step))
-    return d.withColumn(out or y, value).drop("__i", "__a", "__b")
+    return ordered.interpolate(df, y, by, [order] if isinstance(order, str) else order, out or y, slices or ordered.Slices())
 
 
 def group_total(df: DataFrame, y: str, by: list[str], out: str, raw: bool = False) -> DataFrame:

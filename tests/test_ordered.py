@@ -36,6 +36,44 @@ def test_operators(ev, rows_per_slice):
     assert differences(ordered.previous_value(ev, "v", by, order, "out", s).withColumn("want", F.lag("v").over(W))) == 0
     assert differences(ordered.fill_forward(ev, "v", by, order, "out", s).withColumn("want", F.last("v", True).over(UP))) == 0
     assert differences(ordered.number_rows(ev, by, order, "out", s).withColumn("want", F.row_number().over(W))) == 0
+    down = W.rowsBetween(0, Window.unboundedFollowing)
+    assert differences(ordered.fill_backward(ev, "v", by, order, "out", s).withColumn("want", F.first("v", True).over(down))) == 0
+    plain = ordered.interpolate(ev, "v", by, order, "want", Slices()).select("event_id", "want")
+    assert differences(ordered.interpolate(ev, "v", by, order, "out", s).join(plain, "event_id")) == 0
+    for n in (1, 2, 5, 90):  # 90 rows are more than a slice holds
+        last = W.rowsBetween(-(n - 1), 0)
+        want = F.when(F.count("value").over(last) == n, F.sum("value").over(last))
+        assert differences(ordered.rolling_sum(ev, "value", by, order, n, "out", s).withColumn("want", want)) == 0
+        assert differences(ordered.fill_limited(ev, "v", by, order, n - 1, "out", s).withColumn("want", F.last("v", True).over(last))) == 0
+
+
+def test_halo_with_ties_nulls_and_no_keys(spark):
+    rows = [(None if i % 7 == 0 else i // 3, i, None if i % 4 == 1 else float(i % 11)) for i in range(200)]
+    d = spark.createDataFrame(rows, "t int, i int, y double")
+    s = ordered.plan_slices(d, "t", [], least=9)
+    assert len(s.bounds) > 4
+    W = Window.partitionBy(F.lit(0)).orderBy("t", "i")
+    for n in (3, 40):
+        last = W.rowsBetween(-(n - 1), 0)
+        got = ordered.fill_limited(d, "y", [], ["t", "i"], n - 1, "out", s)
+        assert got.columns == ["t", "i", "y", "out"] and got.count() == 200
+        assert differences(got.withColumn("want", F.last("y", True).over(last))) == 0
+        got = ordered.rolling_sum(d, "y", [], ["t", "i"], n, "y", s).withColumnRenamed("y", "out")
+        whole = d.withColumn("want", F.when(F.count("y").over(last) == n, F.sum("y").over(last))).select("i", "want")
+        assert differences(got.join(whole, "i")) == 0
+    assert ordered.rolling_sum(d.limit(0), "y", [], ["t", "i"], 3, "out", s).count() == 0
+
+
+def test_windows_over_rows_are_dealt_by_slice(ev, capsys):
+    s = ordered.plan_slices(ev, "ts", ["g"], least=8)
+    order = ["ts", "event_id"]
+    for f in (lambda: ordered.rolling_sum(ev, "value", ["g"], order, 3, "out", s), lambda: ordered.fill_limited(ev, "value", ["g"], order, 3, "out", s),
+              lambda: ordered.fill_backward(ev, "v", ["g"], order, "out", s), lambda: ordered.interpolate(ev, "v", ["g"], order, "out", s)):
+        f().explain()
+        windows_in_plan = [line for line in capsys.readouterr().out.splitlines() if "- Window [" in line]
+        # What runs over a whole group reads one row per slice: it is ordered by the slice or its end, never by the rows.
+        rows = [line for line in windows_in_plan if "event_id#" in line.split("windowspecdefinition", 1)[1]]
+        assert rows and all("__slice#" in line for line in rows)
 
 
 def test_slices_by_text_follow_text_order(spark):
