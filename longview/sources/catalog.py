@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from longview.operators import aggregate, project
 from longview.sources import csvfiles
@@ -48,15 +49,12 @@ def build_catalog(spark: SparkSession, root: str, grains=aggregate.GRAINS, scale
     Only headers are read.  Equal value names of different files get the file name
     as a prefix instead of overwriting each other.
     """
-    paths: dict[str, str] = {}
-    for path in csvfiles.tables_of(spark, root):
-        table = path.rsplit("/", 1)[1]
-        if table != marker:
-            paths.setdefault(table, path)
+    first = csvfiles.tables_below(spark, root).filter(F.col("name") != marker).groupBy("name").agg(F.min("table").alias("path"))
+    found = {r["path"]: r["name"] for r in first.collect()}  # one row per table name
     tables: dict[str, list[str]] = {}
-    for same in csvfiles.by_header(spark, list(paths.values())).values() if paths else []:
+    for same in csvfiles.by_header(spark, list(found)).values() if found else []:
         columns = spark.read.option("header", True).csv(same[0]).columns
-        tables.update((path.rsplit("/", 1)[1], columns) for path in same)
+        tables.update((found[path], columns) for path in same)
     entries: dict[str, dict] = {}
     for table, columns in sorted(tables.items()):
         for key, meta in describe_file(table, columns, grains, scale).items():

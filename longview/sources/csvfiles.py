@@ -2,42 +2,29 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
-from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from longview.sources.listing import files_below, headers_of, opened_by_tasks, qualified, with_headers
+
 
 def split_paths(paths: str) -> list[str]:
     """Several sources are separated by a pipe."""
     return [p.strip().replace('"', "").rstrip("/") for p in paths.split("|") if p.strip()]
 
 
-def list_files(spark: SparkSession, root: str, name: str = "*.csv", recursive: bool = True) -> DataFrame:
-    """Paths below ``root`` whose file name matches; contents are not read."""
-    reader = (spark.read.format("binaryFile").option("pathGlobFilter", name)
-              .option("recursiveFileLookup", str(recursive).lower()))
-    return reader.load(root).select("path")
-
+def tables_below(spark: SparkSession, root: str) -> DataFrame:
+    """(name, table) of the CSV tables below ``root``: plain files, or folders of part files named like one."""
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    table = F.when(folder.endswith(".csv"), folder).otherwise(F.col("path"))
+    return files_below(spark, root).select(table.alias("table")).distinct().select(F.regexp_extract("table", r"([^/]*)$", 1).alias("name"), "table")
 
-def paths_of(spark: SparkSession, root: str, name: str = "*.csv", recursive: bool = True) -> list[str]:
-    """Driver-side file list, like the one behind every Spark file scan."""
-    try:
-        return sorted(r[0] for r in list_files(spark, root, name, recursive).collect())
-    except AnalysisException:
-        return []
 
-
-def tables_of(spark: SparkSession, root: str, name: str | None = None) -> list[str]:
-    """CSV tables below ``root``: plain files, or folders of part files named like one."""
-    found = set()
-    for path in paths_of(spark, root):
-        folder, file = path.rsplit("/", 1)
-        found.add(folder if folder.endswith(".csv") else path)
-    return sorted(p for p in found if name is None or p.rsplit("/", 1)[1] == name)
+def tables_of(spark: SparkSession, root: str, name: str) -> list[str]:
+    """All tables of one name: one path a run."""
+    return sorted(r[0] for r in tables_below(spark, root).filter(F.col("name") == name).select("table").collect())
 
 
 def file_name(ext: str = "csv"):
@@ -46,25 +33,45 @@ def file_name(ext: str = "csv"):
 
 
 def by_header(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
-    """Files (or folders of part files) grouped by their header line, so that each group can be one scan.
-
-    All headers come from one job that keeps the first line of each file's first block.
-    """
-    plain = lambda p: re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", p).rstrip("/")
-    lines = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
-                                          F.monotonically_increasing_id().alias("id"))
-    first = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "id").alias("header")).collect()
-    header = {}
-    for r in first:
-        path = plain(unquote(r["path"]))
-        header[path] = r["header"]
-        header.setdefault(path.rsplit("/", 1)[0], r["header"])
+    """The named files (or folders of part files) grouped by their header line, so that each group can be one scan."""
     groups: dict[str, list[str]] = {}
-    for f in files:
-        groups.setdefault(header.get(plain(f), ""), []).append(f)
+    for f, header in headers_of(spark, files).items():
+        groups.setdefault(header, []).append(f)
     return groups
 
 
+def _reader(spark: SparkSession, schema, infer: bool, header: bool = True):
+    reader = spark.read.option("header", header)
+    return reader.schema(schema) if schema is not None else reader.option("inferSchema", infer)
+
+
+def folder_scans(spark: SparkSession, root: str, schema=None, infer: bool = True) -> list[DataFrame]:
+    """The CSV files directly in a folder, one scan per header layout.
+
+    Files of one layout, or with a ``schema``, are read as the folder itself, without a list of them. Only the files of a
+    folder with several layouts are named one by one.
+    """
+    whole = lambda: _reader(spark, schema, infer).option("pathGlobFilter", "*.csv").csv(root)
+    if schema is not None:
+        return [whole()]
+    files = files_below(spark, root, recursive=False)
+    if not opened_by_tasks(qualified(spark, root)):
+        groups = by_header(spark, sorted(r[0] for r in files.select("path").collect()))
+        return [_reader(spark, schema, infer).csv(paths) for paths in groups.values()]
+    headers = with_headers(files.select("path").repartition(4 * spark.sparkContext.defaultParallelism, "path"))
+    layouts = headers.groupBy("header").count().orderBy("header").collect()
+    if len(layouts) <= 1:
+        return [whole()]
+    paths = {r["header"]: [] for r in layouts}
+    for r in headers.collect():
+        paths[r["header"]].append(r["path"])
+    return [_reader(spark, schema, infer).csv(sorted(p)) for p in paths.values()]
+
+
+def united(frames: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def scan(spark: SparkSession, files: list[str], schema=None, infer: bool = True, extra: dict | None = None,
          header: bool = True) -> DataFrame:
     """One scan per header layout, united by column name.
@@ -76,13 +83,11 @@ def scan(spark: SparkSession, files: list[str], schema=None, infer: bool = True,
         groups = {"": files}
     else:
         groups = by_header(spark, files)
-    frames = []
-    for paths in groups.values():
-        reader = spark.read.option("header", header)
-        reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", infer)
-        df = reader.csv(paths)
-        frames.append(df.select("*", *[e.alias(n) for n, e in (extra or {}).items()]))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return united([_with_extra(_reader(spark, schema, infer, header).csv(paths), extra) for paths in groups.values()])
+
+
+def _with_extra(df: DataFrame, extra: dict | None) -> DataFrame:
+    return df.select("*", *[e.alias(n) for n, e in (extra or {}).items()])
 
 
 def read_csv_source(spark: SparkSession, paths: str, schema=None, infer: bool = True) -> DataFrame:
@@ -92,15 +97,11 @@ def read_csv_source(spark: SparkSession, paths: str, schema=None, infer: bool =
     directory or more than one source is given.
     """
     entries = split_paths(paths)
-    files, tagged = [], len(entries) > 1
-    for e in entries:
-        if e.lower().endswith(".csv"):
-            files.append(e)
-        else:
-            files += paths_of(spark, e, recursive=False)
-            tagged = True
-    extra = {"filename": file_name()} if tagged else None
-    return scan(spark, files, schema, infer, extra)
+    files = [e for e in entries if e.lower().endswith(".csv")]
+    folders = [e for e in entries if e not in files]
+    extra = {"filename": file_name()} if len(entries) > 1 or folders else None
+    frames = [scan(spark, files, schema, infer, extra)] if files else []
+    return united(frames + [_with_extra(df, extra) for f in folders for df in folder_scans(spark, f, schema, infer)])
 
 
 def number_in_file(df: DataFrame, out: str) -> DataFrame:
@@ -131,15 +132,8 @@ def read_with_preamble(spark: SparkSession, path: str, skip: int, schema=None) -
 
 def read_numbered(spark: SparkSession, root: str, order_col: str = "HourID", schema=None) -> DataFrame:
     """One file per key: rows numbered in file order from 1 and tagged with the file stem."""
-    files = paths_of(spark, root, recursive=False)
-    groups = {"": files} if schema is not None else by_header(spark, files)
-    frames = []
-    for paths in groups.values():
-        reader = spark.read.option("header", True)
-        reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-        df = reader.csv(paths)
-        frames.append(number_in_file(df.select("*", "_metadata", file_name().alias("filename")), order_col))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames).drop("_metadata")
+    frames = [number_in_file(df.select("*", "_metadata", file_name().alias("filename")), order_col) for df in folder_scans(spark, root, schema)]
+    return united(frames).drop("_metadata")
 
 
 def read_parameters(spark: SparkSession, path: str, key: str, value: str = "value") -> DataFrame:
@@ -154,7 +148,7 @@ def parameter(table: DataFrame, key: str, name: str, value: str = "value", kind:
 
 def unique_by_name(spark: SparkSession, root: str) -> dict[str, str]:
     """One table per base name of a tree; the last path wins."""
-    return {p.rsplit("/", 1)[1]: p for p in tables_of(spark, root)}
+    return {r["name"]: r["table"] for r in tables_below(spark, root).groupBy("name").agg(F.max("table").alias("table")).collect()}
 
 
 def promote_header(df: DataFrame, row: int, index: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -104,21 +105,16 @@ def mapped_runs(spark: SparkSession, root: str, file: str, dims: dict) -> DataFr
 def apply_all(spark: SparkSession, store: MappingStore, root: str, out: str, partitioned: bool = False) -> list[str]:
     """Write the canonical form of every mapped file.
 
-    Default layout: ``<out>/<folder>/outputs/<name>.csv`` with the run marker, one
-    write per run folder.  ``partitioned`` writes all runs of a mapping in one job as
-    ``<out>/<name>/scenario=<folder>``.
+    Default layout: ``<out>/<folder>/outputs/<name>.csv`` with the run marker: one job a mapping writes the tables of
+    all runs, which are then moved to their folders.  ``partitioned`` leaves them as ``<out>/<name>/scenario=<folder>``.
     """
-    written = []
+    written, staged = [], {}
     for name, item in store.load().items():
         df = mapped_runs(spark, root, item["original_file"], item["dimensions"])
+        target = f"{out}/{name}" if partitioned else f"{out}/_{uuid.uuid4().hex}"
+        df.write.mode("errorifexists").partitionBy("scenario").option("header", True).csv(target)
         if partitioned:
-            target = f"{out}/{name}"
-            df.write.mode("errorifexists").partitionBy("scenario").option("header", True).csv(target)
             written.append(target)
-            continue
-        for run in [r[0] for r in df.select("scenario").distinct().collect()]:
-            target = f"{out}/{run}/{OUTPUT_DIR}"
-            sinks.write_csv(df.filter(F.col("scenario") == run).drop("scenario"), f"{target}/{name}.csv")
-            sinks.write_marker(spark, f"{target}/{MARKER}")
-            written.append(f"{target}/{name}.csv")
-    return written
+        else:
+            staged[target] = f"{OUTPUT_DIR}/{name}.csv"
+    return written + sinks.publish_runs(spark, staged, out, "scenario", f"{OUTPUT_DIR}/{MARKER}")

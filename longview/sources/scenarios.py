@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from longview.operators import aggregate, joins, project, ranking, reshape
-from longview.sources import csvfiles
+from longview.shared import hadoop_path, new_folder
+from longview.sources import csvfiles, sinks
+from longview.sources.listing import plain_path, states_of
 
 # Layout of a run folder.
 OUTPUT_DIR = "outputs"
@@ -56,11 +61,6 @@ def discover_scenarios(spark: SparkSession, paths: str, marker: str = MARKER) ->
     return unique_names(list({(s.name, s.path): s for s in out}.values()))
 
 
-def _plain_path(path: str) -> str:
-    """Path without scheme and host, as runs are told apart by their whole folder."""
-    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/")
-
-
 def _run_folder():
     # File paths arrive URL-encoded; a plus sign stands for itself.
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
@@ -105,7 +105,7 @@ def read_source(spark: SparkSession, scenarios: list[Scenario], src: dict) -> Da
         raw = raw.toDF(*src["columns"], "__run")
         run = raw["__run"]
         body = raw.drop("__run")
-    names = F.create_map(*[F.lit(v) for s in scenarios for v in (_plain_path(s.path), s.name)])
+    names = F.create_map(*[F.lit(v) for s in scenarios for v in (plain_path(s.path), s.name)])
     tagged = raw.withColumn("scenario", F.try_element_at(names, run)).drop("__run")
     clean = project.lowercase_strings(project.clean_sentinels(tagged.select(*body.columns, "scenario")))
     lower_to_name = F.create_map(*[F.lit(v) for s in scenarios for v in (s.name.lower(), s.name)])
@@ -116,7 +116,7 @@ def _transposed(raw: DataFrame, scenarios: list[Scenario], src: dict) -> DataFra
     """Transposed sources are small parameter tables: one run at a time."""
     frames = []
     for s in scenarios:
-        one = raw.filter(F.col("__run") == _plain_path(s.path)).drop("__run")
+        one = raw.filter(F.col("__run") == plain_path(s.path)).drop("__run")
         flipped = reshape.transpose(one, one.columns[0])
         flipped = flipped.toDF(*src["columns"]) if "columns" in src else flipped
         flipped = project.lowercase_strings(project.clean_sentinels(flipped))
@@ -214,34 +214,81 @@ def load_view_source(result: DataFrame, meta: dict) -> ViewSource:
 
 
 class ResultStore:
-    """Loaded results by name, extended scenario by scenario; runs are known by their folder.
+    """Loaded results, kept as Parquet in a shared folder and extended run by run.
 
-    Frames are persisted in memory and on disk; blocks of a lost executor are
-    recomputed from the files.
+    A manifest names, for each result and run folder, the state of the files it was read from and the part written from
+    them.  ``load`` compares states and reads only runs that are new or changed, all of them in one job; everything else
+    comes from the parts.  Nothing lives on executors, so losing them costs nothing, and another session that names the
+    same ``folder`` goes on from there.  A manifest replaces the one before it as a whole; one session writes at a time.
+    Where a column is text in some runs only, it is text in the result.
     """
 
-    def __init__(self, spark: SparkSession, catalog: dict, meta: dict | None = None):
+    def __init__(self, spark: SparkSession, catalog: dict, meta: dict | None = None, folder: str | None = None):
         self.spark, self.catalog, self.meta = spark, catalog, meta
-        self._loaded: dict[str, dict[str, DataFrame]] = {}
+        self.folder = (folder or new_folder(spark)).rstrip("/")
+
+    def manifest(self) -> dict[str, dict[str, dict]]:
+        """``{result: {run folder: {state, part, schema}}}``."""
+        try:
+            return json.loads(self.spark.read.text(f"{self.folder}/manifest.json", wholetext=True).first()[0])
+        except AnalysisException:
+            return {}
+
+    def _states(self, name: str, active: list[Scenario]) -> dict[str, str]:
+        """State of each run: its files, its name and what is done with them."""
+        result = self.catalog[name]
+        sources = [src["file"] for src in result.get("sources", [result])]
+        files = states_of(self.spark, [f"{s.path}/{OUTPUT_DIR}/{f}" for s in active for f in sources])
+        work = json.dumps({k: v for k, v in result.items() if k != "index"}, sort_keys=True, default=lambda f: f"{f.__module__}.{f.__qualname__}")
+        return {s.path: " ".join([*(files[f"{s.path}/{OUTPUT_DIR}/{f}"] for f in sources), s.name, hashlib.sha256(work.encode()).hexdigest()]) for s in active}
 
     def load(self, name: str, active: list[Scenario]) -> DataFrame:
-        """The result for the active scenarios; only new ones are read."""
-        have = self._loaded.setdefault(name, {})
-        keep = {s.path for s in active}
-        for gone in [n for n in have if n not in keep]:
-            have.pop(gone).unpersist()
-        result = {k: v for k, v in self.catalog[name].items() if k != "index"}
-        for s in active:
-            if s.path not in have:
-                have[s.path] = read_result(self.spark, [s], result, self.meta).persist(StorageLevel.MEMORY_AND_DISK)
-        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [have[s.path] for s in active])
+        """The result for the active runs; only new and changed ones are read from their files."""
+        manifest, now = self.manifest(), self._states(name, active)
+        have = manifest.setdefault(name, {})
+        stale = [s for s in active if have.get(s.path, {}).get("state") != now[s.path]]
+        if stale:
+            result = {k: v for k, v in self.catalog[name].items() if k != "index"}
+            df = read_result(self.spark, stale, result, self.meta)
+            number = F.create_map(*[F.lit(v) for i, s in enumerate(stale) for v in (s.name, i)])
+            target = f"{self.folder}/{uuid.uuid4().hex}"
+            df.withColumn("__run", F.try_element_at(number, F.col("scenario"))).write.partitionBy("__run").parquet(target)
+            old = [have[s.path]["part"] for s in stale if s.path in have]
+            for i, s in enumerate(stale):
+                have[s.path] = {"state": now[s.path], "part": f"{target}/__run={i}", "schema": df.schema.jsonValue()}
+            sinks.put_text(self.spark, f"{self.folder}/manifest.json", json.dumps(manifest))
+            for part in old:
+                fs, path = hadoop_path(self.spark, part)
+                fs.delete(path, True)
+        df = self._parts([have[s.path] for s in active])
         index = self.catalog[name].get("index")
-        if index:
-            df = aggregate.densify(df, ["scenario", *index])
-        return df
+        return aggregate.densify(df, ["scenario", *index]) if index else df
+
+    def _parts(self, entries: list[dict]) -> DataFrame:
+        """One scan per schema; columns of several types become text."""
+        kinds: dict[str, set] = {}
+        groups: dict[str, list[dict]] = {}
+        for e in entries:
+            groups.setdefault(json.dumps(e["schema"]), []).append(e)
+            for f in e["schema"]["fields"]:
+                kinds.setdefault(f["name"], set()).add(json.dumps(f["type"]))
+        mixed = [c for c, k in kinds.items() if len(k) > 1]
+        frames = []
+        for same in groups.values():
+            schema = StructType.fromJson(same[0]["schema"])
+            there = [e["part"] for e in same if _exists(self.spark, e["part"])]  # a run without rows has no part
+            df = self.spark.read.schema(schema).parquet(*there) if there else self.spark.createDataFrame([], schema)
+            texts = [c for c in mixed if c in df.columns]
+            numbers = {json.dumps("string"), json.dumps("boolean")}
+            kind = {c: "string" if kinds[c] & numbers else "double" for c in texts}
+            frames.append(df.withColumns({c: F.col(c).cast(kind[c]) for c in texts}) if texts else df)
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
     def clear(self) -> None:
-        for frames in self._loaded.values():
-            for f in frames.values():
-                f.unpersist()
-        self._loaded.clear()
+        fs, path = hadoop_path(self.spark, self.folder)
+        fs.delete(path, True)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = hadoop_path(spark, path)
+    return fs.exists(p)

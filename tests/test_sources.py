@@ -5,7 +5,8 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from longview.sources import catalog, csvfiles, mapping, scenarios, sinks
+from longview.operators import aggregate
+from longview.sources import catalog, csvfiles, listing, mapping, scenarios, sinks
 
 
 def put(root, path, text):
@@ -88,12 +89,79 @@ def test_catalog_result_and_store(spark, runs, rows):
     store = scenarios.ResultStore(spark, cat)
     assert store.load("Gen (Yearly)", found[:1]).select("scenario").distinct().count() == 1
     assert store.load("Gen (Yearly)", found).count() == 8
-    assert [p.rsplit("/", 1)[1] for p in store._loaded["Gen (Yearly)"]] == ["Base Case", "High+Tech"]
-    store.load("Gen (Yearly)", found[1:])
-    assert [p.rsplit("/", 1)[1] for p in store._loaded["Gen (Yearly)"]] == ["High+Tech"]
+    parts = {p.rsplit("/", 1)[1]: e["part"] for p, e in store.manifest()["Gen (Yearly)"].items()}
+    assert sorted(parts) == ["Base Case", "High+Tech"]
+    assert store.load("Gen (Yearly)", found[1:]).select("scenario").distinct().count() == 1
+    assert {p.rsplit("/", 1)[1]: e["part"] for p, e in store.manifest()["Gen (Yearly)"].items()} == parts  # nothing was read again
     store.clear()
 
 
+def test_store_reads_changed_and_new_runs_only(spark, runs, rows, tmp_path):
+    found = scenarios.discover_scenarios(spark, str(runs / "runs"))
+    made = {"Gen": {"file": "gen.csv", "columns": ["tech", "year", "month", "day", "hour", "Gen"]}}
+    store = scenarios.ResultStore(spark, made, folder=str(tmp_path / "store"))
+    state = lambda s: {p.rsplit("/", 1)[1]: e["part"] for p, e in s.manifest().get("Gen", {}).items()}
+    assert store.load("Gen", found[:1]).count() == 3
+    first = state(store)
+    again = scenarios.ResultStore(spark, made, folder=str(tmp_path / "store"))  # another session's view of the same folder
+    assert again.load("Gen", found).count() == 6
+    second = state(again)
+    assert second["Base Case"] == first["Base Case"] and set(second) == {"Base Case", "High+Tech"}
+    put(runs, "runs/Base Case/outputs/gen.csv", "Dim1,year,month,day,hour,Gen\nCOAL,2020,1,1,0,100.5\n")
+    d = again.load("Gen", found)
+    assert sorted(r.Gen for r in d.filter("scenario = 'Base Case'").collect()) == [100.5] and d.count() == 4
+    third = state(again)
+    assert third["High+Tech"] == second["High+Tech"] and third["Base Case"] != second["Base Case"]
+    assert not (tmp_path / "store").joinpath(second["Base Case"].split("/store/")[1]).exists()  # the old part is gone
+    # A column that is text in one run only is text, also for the run that was loaded before.
+    put(runs, "runs/Base Case/outputs/gen.csv", "Dim1,year,month,day,hour,Gen\nCOAL,2020,1,1,0,none\n")
+    d = again.load("Gen", found)
+    assert dict(d.dtypes)["Gen"] == "string" and sorted(r.Gen for r in d.collect())[-1] == "none"
+    # Another definition of the result is another state.
+    other = scenarios.ResultStore(spark, {"Gen": made["Gen"] | {"preprocess": [{"func": aggregate.sum_over, "args": {"group_cols": ["year"]}}]}}, folder=str(tmp_path / "store"))
+    put(runs, "runs/Base Case/outputs/gen.csv", "Dim1,year,month,day,hour,Gen\nCOAL,2020,1,1,0,7\n")
+    other.load("Gen", found)
+    assert all(state(other)[k] != third[k] for k in third)
+    other.clear()
+    assert not (tmp_path / "store").exists()
+
+
+def test_headers_read_a_bounded_part(spark, tmp_path):
+    wide = ",".join(f"column_{i}" for i in range(4000))  # a header longer than one ranged read
+    put(tmp_path, "h/a.csv", wide + "\n" + "1,2\n" * 200_000)
+    put(tmp_path, "h/b.csv", "x,y")  # no line end
+    put(tmp_path, "h/c.csv", "")
+    put(tmp_path, "h/t.csv/part-0.csv", "p,q\r\n1,2\r\n")
+    put(tmp_path, "h/t.csv/_SUCCESS", "")
+    files = [str(tmp_path / "h" / n) for n in ("a.csv", "b.csv", "c.csv", "t.csv")]
+    assert listing.headers_of(spark, files) == dict(zip(files, [wide, "x,y", "", "p,q"]))
+    below = listing.files_below(spark, str(tmp_path / "h"), "*.csv")
+    assert sorted(r.path.rsplit("/h/", 1)[1] for r in below.collect()) == ["a.csv", "b.csv", "c.csv", "t.csv/part-0.csv"]
+    assert [r.path[-5:] for r in listing.files_below(spark, str(tmp_path / "h"), "b*", recursive=False).collect()] == ["b.csv"]
+    assert listing.files_below(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_many_files_in_one_job(spark, tmp_path):
+    for i in range(300):
+        put(tmp_path, f"m/run{i % 30}/sub/f{i}.csv", f"k,v{i % 2}\n{i},1\n")
+    h = listing.with_headers(listing.files_below(spark, str(tmp_path / "m")))
+    assert {(r.header, r["count"]) for r in h.groupBy("header").count().collect()} == {("k,v0", 150), ("k,v1", 150)}
+    assert csvfiles.tables_below(spark, str(tmp_path / "m")).count() == 300
+
+
+def test_runs_are_published_whole(spark, tmp_path, rows):
+    d = spark.createDataFrame([("a", 1), ("b c", 2), (".", 3)], "scenario string, v int")
+    d.write.partitionBy("scenario").option("header", True).csv(str(tmp_path / "stage"))
+    sinks.publish_runs(spark, {str(tmp_path / "stage"): "outputs/x.csv"}, str(tmp_path / "out"), "scenario", "outputs/BP.csv")
+    assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("BP.csv")) == ["a/outputs/BP.csv", "b c/outputs/BP.csv", "outputs/BP.csv"]
+    assert spark.read.option("header", True).csv(str(tmp_path / "out/b c/outputs/x.csv")).first().v == "2"
+    d.write.partitionBy("scenario").option("header", True).csv(str(tmp_path / "stage"))
+    (tmp_path / "out/a/outputs/BP.csv").unlink()
+    with pytest.raises(FileExistsError):
+        sinks.publish_runs(spark, {str(tmp_path / "stage"): "outputs/x.csv"}, str(tmp_path / "out"), "scenario", "outputs/BP.csv")
+    assert not (tmp_path / "out/a/outputs/BP.csv").exists()  # nothing moved, no marker
+
+
 def test_several_sources_and_column_functions(spark, runs, rows):
     found = scenarios.discover_scenarios(spark, str(runs / "runs"))
     def merge(dfs, by):

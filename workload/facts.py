@@ -5,14 +5,13 @@ Only the joins behind the wanted columns are made.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from longview.shared import materialise, new_folder
+
+__all__ = ["events", "events_sql", "facts", "facts_sql", "materialise", "scratch", "table"]
+
 _BASE = {
     "flag": ("l_returnflag", "l_returnflag"), "status": ("l_linestatus", "l_linestatus"),
     "year": ("year(l_shipdate)", "CAST(year(l_shipdate) AS INTEGER)"),
@@ -100,32 +99,6 @@ def events_sql(*cols: str) -> str:
     return f"(SELECT {', '.join(f'{_EVENT[c][1]} AS {c}' for c in cols)} FROM events)"
 
 
-_LOCAL: list[str] = []
-
-
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared directory of the cluster.
-
-    Only a local session may go without one; its temporary folder is removed when Python ends.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        if sc.master != "local" and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not _LOCAL:
-            _LOCAL.append(tempfile.mkdtemp(prefix="longview-"))
-            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-        base = "file://" + _LOCAL[0]
-    return f"{base.rstrip('/')}/longview-{uuid.uuid4().hex}"
-
-
-def materialise(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Write an intermediate table once to the shared folder and read it from there.
-
-    Cuts the lineage and survives the loss of executors; used where several inputs
-    of one query come from the same pass over the facts.
-    """
-    path = scratch(spark)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    """A new folder in the shared directory of the cluster."""
+    return new_folder(spark)

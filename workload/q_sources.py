@@ -10,7 +10,9 @@ from longview.operators import aggregate as agg
 from longview.operators import project, reshape
 from longview.plans import report
 from longview.plans.view import ViewSpec, run_view
+from longview.shared import hadoop_path
 from longview.sources import catalog, csvfiles, mapping, scenarios, sinks
+from longview.sources.listing import files_below, with_headers
 from workload.facts import events, events_sql, facts, facts_sql, scratch, table
 from workload.registry import query, r, rounded
 
@@ -18,6 +20,7 @@ _AREAS: dict[tuple[str, str], str] = {}
 HOURLY = f"(SELECT scenario, tech, year, month, day, hour, {r('sum(value)', 2)} AS value FROM {events_sql('scenario', 'tech', 'year', 'month', 'day', 'hour', 'value')} GROUP BY 1, 2, 3, 4, 5, 6)"
 LINE = "l_orderkey long, l_linenumber int, l_returnflag string, l_quantity double"
 TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]  # all part types
+WEEKS = ["w1", "w2", "w3", "w4", "w5"]  # all weeks of the events
 LINE_COLS = ["l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"]
 
 
@@ -45,6 +48,35 @@ def area(spark, sf) -> str:
     return root
 
 
+def put_files(spark, df, folder: str) -> str:
+    """The rows of each name as ``<folder>/<name>.csv``, further part files with a number behind the name."""
+    staged = scratch(spark)
+    df.write.partitionBy("name").option("header", True).csv(staged)
+    fs, path = hadoop_path(spark, staged)
+    _, to = hadoop_path(spark, folder)
+    fs.mkdirs(to)
+    for part in fs.listStatus(path):
+        name = part.getPath().getName()
+        if name.startswith("name="):
+            files = [f.getPath() for f in fs.listStatus(part.getPath()) if f.getPath().getName().startswith("part-")]
+            for i, f in enumerate(files):
+                assert fs.rename(f, hadoop_path(spark, f"{folder}/{name.removeprefix('name=')}{i or ''}.csv")[1])
+    return folder
+
+
+def by_file(spark, sf) -> str:
+    """A folder with one sorted CSV file a run."""
+    key = (spark.sparkContext.applicationId, sf, "files")
+    if key not in _AREAS:
+        root = area(spark, sf)
+        d = spark.read.option("header", True).option("inferSchema", True).csv([f"{root}/inputs/{s}/raw.csv" for s in WEEKS])
+        d = d.withColumn("name", F.regexp_extract(F.col("_metadata.file_path"), "/(w[0-9])/raw", 1))
+        d = d.select("name", "category_name", "year", "month", "day", "Hour", "Generation")
+        d = d.repartition("name").sortWithinPartitions("name", "category_name", "month", "day", "Hour")  # the hours of a week at most
+        _AREAS[key] = put_files(spark, d, f"{scratch(spark)}/files")
+    return _AREAS[key]
+
+
 # ---- sources -------------------------------------------------------------------------
 
 @query("s1_csv_scan", "SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity FROM lineitem")
@@ -58,10 +90,25 @@ def _(spark, sf):
     return d.groupBy("l_returnflag").agg(F.sum("l_quantity").alias("q"), F.sum("l_linenumber").alias("n"))
 
 
-@query("s2_csv_directory", "SELECT l_returnflag, count(*) AS rows, true AS named FROM lineitem GROUP BY 1")
+@query("s2_csv_directory", f"SELECT scenario AS filename, tech AS category_name, year, month, day, hour AS \"Hour\", value AS \"Generation\" FROM {HOURLY}")
 def _(spark, sf):
-    d = csvfiles.read_csv_source(spark, f"{area(spark, sf)}/flat/lineitem", LINE)
-    return d.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows"), (F.min(F.length("filename")) > 0).alias("named"))
+    """One file a run, united with the name of its file."""
+    d = csvfiles.read_csv_source(spark, by_file(spark, sf))
+    return d.select("filename", "category_name", "year", "month", "day", "Hour", "Generation")
+
+
+@query("s2_mixed_headers", f"""
+SELECT 'lineitem' AS kind, CAST(NULL AS VARCHAR) AS category_name, count(*) AS rows, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem
+UNION ALL SELECT 'week', tech, count(*), NULL FROM {HOURLY} GROUP BY 2""")
+def _(spark, sf):
+    """A folder whose files have different headers: a scan for each, whatever the number of files."""
+    out = f"{scratch(spark)}/mixed"
+    put_files(spark, table(spark, sf, "lineitem").select(F.lit("lineitem").alias("name"), *LINE_COLS), out)
+    put_files(spark, spark.read.option("header", True).csv(by_file(spark, sf)).select(F.substring(F.input_file_name(), -6, 2).alias("name"), "*"), out)
+    d = csvfiles.read_csv_source(spark, out)
+    kind = F.when(F.col("filename").startswith("lineitem"), "lineitem").otherwise("week")
+    d = d.groupBy(kind.alias("kind"), "category_name").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("l_linenumber").cast("long")).alias("lines"))
+    return d
 
 
 @query("s3_several_sources", """
@@ -134,6 +181,32 @@ def _(spark, sf):
     return rounded(store.load("value (Daily)", [found["w2"], found["w3"]]), 2, "value")
 
 
+@query("s10_incremental_store", f"""
+SELECT scenario, {r("sum(value) * CASE scenario WHEN 'w2' THEN 3 ELSE 1 END", 2)} AS value, scenario = 'w2' AS rewritten, scenario IN ('w2', 'w5') AS read_again
+FROM {HOURLY} GROUP BY 1""")
+def _(spark, sf):
+    """Four runs are loaded, one of them changes and a fifth comes: only these two are read, and one part is written anew."""
+    root, out = area(spark, sf), scratch(spark)
+    hourly = spark.read.option("header", True).option("inferSchema", True)
+    runs = []
+    for s in WEEKS:
+        d = hourly.csv(f"{root}/inputs/{s}/raw.csv")
+        sinks.write_csv(d, f"{out}/{s}/outputs/gen.csv")
+        runs.append(scenarios.Scenario(s, f"{out}/{s}"))
+    store = scenarios.ResultStore(spark, {"value": {"file": "gen.csv"}}, folder=f"{out}/store")
+    store.load("value", runs[:4])
+    before = store.manifest()["value"]
+    tripled = hourly.csv(f"{root}/inputs/w2/raw.csv").withColumn("Generation", F.col("Generation") * 3)
+    sinks.write_csv(tripled, f"{out}/w2/outputs/gen.csv", mode="overwrite")
+    again = scenarios.ResultStore(spark, {"value": {"file": "gen.csv"}}, folder=f"{out}/store")  # as another session would
+    d = again.load("value", runs)
+    after = again.manifest()["value"]
+    part = lambda m, x: m.get(x.path, {}).get("part")
+    log = [(x.name, part(before, x) is not None and part(before, x) != part(after, x), part(before, x) != part(after, x)) for x in runs]
+    log = spark.createDataFrame(log, "scenario string, rewritten boolean, read_again boolean")
+    return rounded(d.groupBy("scenario").agg(F.sum("Generation").alias("value")).join(log, "scenario"), 2, "value")
+
+
 @query("s11_lookup_scan", f"SELECT n_name AS area, r_name AS region, {r('sum(a)', 2)} AS a FROM {facts_sql('rb', 'a')} JOIN nation ON n_name = rb JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
 def _(spark, sf):
     from longview.operators import joins
@@ -160,11 +233,25 @@ def _(spark, sf):
     return d.select(F.col("Year").cast("int").alias("year"), *[F.col(t).cast("double").alias(t) for t in TYPES])
 
 
-@query("s13_numbered_files", "SELECT count(*) AS rows, count(*) AS numbers, true AS from_one FROM lineitem")
+@query("s13_numbered_files", f"""
+SELECT scenario AS filename, row_number() OVER (PARTITION BY scenario ORDER BY tech, month, day, hour) AS "HourID", tech AS category_name, month, day, hour AS "Hour", value AS "Generation" FROM {HOURLY}""")
+def _(spark, sf):
+    """Rows are numbered as they stand in their files, which are sorted here."""
+    d = csvfiles.read_numbered(spark, by_file(spark, sf), "HourID")
+    return d.select("filename", F.col("HourID").cast("long").alias("HourID"), "category_name", "month", "day", "Hour", "Generation")
+
+
+@query("s15_listing", f"""
+SELECT name, count(*) AS tables FROM (SELECT DISTINCT scenario, unnest(['gen.csv', 'total.csv']) AS name FROM {HOURLY}) GROUP BY 1""")
+def _(spark, sf):
+    """Tables of a tree of runs by name, from a listing that stays in tasks."""
+    return csvfiles.tables_below(spark, f"{area(spark, sf)}/runs").groupBy("name").agg(F.count(F.lit(1)).alias("tables"))
+
+
+@query("s1_headers", f"SELECT 'category_name,year,month,day,Hour,Generation' AS header, count(DISTINCT scenario) AS files FROM {HOURLY}")
 def _(spark, sf):
-    d = csvfiles.read_numbered(spark, f"{area(spark, sf)}/flat/lineitem", "HourID", LINE)
-    per = d.groupBy("filename").agg(F.count(F.lit(1)).alias("rows"), F.max("HourID").alias("numbers"), F.min("HourID").alias("first"))
-    return per.agg(F.sum("rows").alias("rows"), F.sum("numbers").alias("numbers"), (F.max("first") == 1).alias("from_one"))
+    """Header line of every file of a folder: one row a file, none of its contents."""
+    return with_headers(files_below(spark, by_file(spark, sf))).groupBy("header").agg(F.count(F.lit(1)).alias("files"))
 
 
 GRAIN_COLS = {"Yearly": "year", "Monthly": "year, month", "Daily": "year, month, day", "Hourly": "year, month, day, hour"}
