@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from longview.functions import scalars as S
+from longview.operators import custom, ranking
 from longview.operators.common import attach, group_count, numeric_columns
 from longview.operators.joins import expand_by
 from longview.operators.project import keep_for_grouping
@@ -40,13 +41,71 @@ def aggregation(how: str, a, b=None, c=None) -> Column:
 
 def aggregate(df: DataFrame, by: list[str], how: str, a: str, b=None, c=None,
               within_range: bool = False) -> DataFrame:
-    """One row per key with the aggregated ``a``, optionally its smallest and largest value."""
+    """One row per key with the aggregated ``a``, optionally its smallest and largest value.
+
+    ``how`` names a built-in aggregation or a user's registered one.
+    """
+    if (own := custom.registered(how)) is not None:
+        inputs = [c for c in dict.fromkeys([a, b, c]) if c is not None]
+        found = custom.group_function(df, by, inputs, own)
+        found = found.withColumnRenamed(found.columns[-1], a)
+        if not within_range:
+            return found
+        return attach(found, by, df.groupBy(*by).agg(F.min(a).alias("range_min"), F.max(a).alias("range_max")), ["range_min", "range_max"])
     out = [aggregation(how, a, b, c).alias(a)]
     if within_range:
         out += [F.min(a).alias("range_min"), F.max(a).alias("range_max")]
     return df.groupBy(*by).agg(*out)
 
 
+def _parts(how: str, a: str, b: str | None, c: str | None) -> tuple[dict[str, Column], Column]:
+    """Sums that add up over any split of the rows, and the aggregation from them."""
+    A, B, C = (None if x is None else F.col(x) for x in (a, b, c))
+    total = lambda name: F.sum(name)
+    if how == "sum(a)":
+        return {"__a": F.sum(A)}, F.coalesce(total("__a"), F.lit(0))
+    if how == "ave(a)":
+        return {"__a": F.sum(A), "__n": F.count(A)}, S.ratio(total("__a"), total("__n"))
+    if how == "sum(a)/sum(b)":
+        return {"__a": F.sum(A), "__b": F.sum(B)}, S.ratio(total("__a"), total("__b"))
+    if how == "sum(a*b)/sum(b)":
+        return {"__ab": F.sum(A * B), "__b": F.sum(B)}, S.ratio(total("__ab"), total("__b"))
+    if how == "sum(a*b)/sum(c)":
+        return {"__ab": F.sum(A * B), "__c": F.sum(C)}, S.ratio(total("__ab"), total("__c"))
+    if how == "[sum(a*b)/sum(b)]/[sum(a*c)/sum(c)]":
+        parts = {"__ab": F.sum(A * B), "__b": F.sum(B), "__ac": F.sum(A * C), "__c": F.sum(C)}
+        return parts, S.ratio(S.ratio(total("__ab"), total("__b")), S.ratio(total("__ac"), total("__c")))
+    raise ValueError(f"unknown aggregation {how!r}")
+
+
+def aggregate_top(df: DataFrame, by: list[str], how: str, a: str, b=None, c=None, within_range: bool = False,
+                  series: str = "series", n: int = 10, other: str = "Other") -> DataFrame:
+    """``aggregate`` after all but the ``n`` series largest by sum of absolute ``a`` became one, in one pass over ``df``.
+
+    Rows are summed per key with the weight of their series beside the sums; series are ranked and renamed on those
+    sums, which then add up once more.  Ties go to the smaller name.
+    """
+    if custom.registered(how) is not None:
+        return aggregate(ranking.top_n_series(df, series, a, n, other), by, how, a, b, c, within_range)
+    parts, result = _parts(how, a, b, c)
+    if within_range:
+        parts |= {"__lo": F.min(a), "__hi": F.max(a)}
+    sums = df.groupBy(*by).agg(*[e.alias(k) for k, e in parts.items()], F.sum(F.abs(F.col(a))).alias("__w"))
+    # Ranking and naming are one plan down to the shuffle of the sums, which then is made once, if both use all sums. The
+    # last sort key never decides and the weight below is never negative, but the optimizer can't know.
+    whole = F.max(F.struct(*parts)).alias("__all")
+    top = (sums.groupBy(series).agg(F.sum("__w").alias("__w"), whole).orderBy(F.col("__w").desc(), F.col(series), F.col("__all")).limit(n)
+               .select(F.col(series).alias("__top"), F.lit(True).alias("__kept")))
+    if n <= ranking.MAX_BROADCAST_SERIES:
+        top = F.broadcast(top)
+    named = F.when(F.col("__kept") & F.col(series).isNotNull(), F.col(series).cast("string")).otherwise(F.lit(other))
+    d = sums.filter("__w >= 0 OR __w IS NULL").join(top, F.col(series).eqNullSafe(F.col("__top")), "left").withColumn(series, named)
+    out = [result.alias(a)]
+    if within_range:
+        out += [F.min("__lo").alias("range_min"), F.max("__hi").alias("range_max")]
+    return d.groupBy(*by).agg(*out)
+
+
 def sum_numeric(df: DataFrame, by: list[str]) -> DataFrame:
     """Group and sum every remaining numeric column; sums of nothing are zero."""
     values = [c for c in numeric_columns(df) if c not in by]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from longview.operators import aggregate as agg
-from longview.operators import prep, project, ranking
+from longview.operators import custom, prep, project, ranking
 from longview.operators.common import numeric_columns
 from longview.operators.compare import CONSECUTIVE, TOTAL, compare
 
@@ -124,7 +124,7 @@ def validate(spec: ViewSpec, roles: dict[str, list[str]], base_values: dict[str,
         allowed = {"x": [*roles["x-axis"], HISTOGRAM_X], "y": roles["y-axis"]}.get(role, roles["seriesable"])
         if c not in allowed:
             problems.append(f"{c} cannot be used as {role}")
-    if spec.y_agg is not None and spec.y_agg not in agg.AGGREGATIONS:
+    if spec.y_agg is not None and spec.y_agg not in agg.AGGREGATIONS and custom.registered(spec.y_agg) is None:
         problems.append(f"unknown aggregation {spec.y_agg}")
     for op, col, base in spec.steps:
         if op not in ("Difference", "Ratio"):
@@ -171,13 +171,15 @@ def run_view(df: DataFrame, spec: ViewSpec | dict, orders: dict[str, list] | Non
     d = df.select(*[c for c in used if c in df.columns]) if aggregated or x == HISTOGRAM_X else df
     d = project.apply_filters(d, spec.filter)
 
-    if series is not None and str(spec.series_limit).isdigit():
+    limited = series is not None and str(spec.series_limit).isdigit()
+    if limited and not aggregated:
         d = ranking.top_n_series(d, series, y, int(spec.series_limit))
 
     extra = []
     if aggregated:
         within = spec.range == WITHIN
-        d = agg.aggregate(d, spec.keys, spec.y_agg, y, spec.y_b, spec.y_c, within)
+        how = (spec.keys, spec.y_agg, y, spec.y_b, spec.y_c, within)
+        d = agg.aggregate_top(d, *how, series, int(spec.series_limit)) if limited else agg.aggregate(d, *how)
         extra = ["range_min", "range_max"] if within else []
     elif x == HISTOGRAM_X:
         by = [c for c in spec.keys if c != HISTOGRAM_X]

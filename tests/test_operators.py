@@ -1,6 +1,7 @@
 """Small hand-computed cases and algebraic properties of the operators."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -244,3 +245,24 @@ def test_share_sums_to_one(d):
     for raw in (False, True):
         s = windows.share(d, "y", ["scenario"], raw=raw)
         assert all(abs(r.t - 1) < 1e-12 for r in s.groupBy("scenario").agg(F.sum("share").alias("t")).collect())
+
+
+@pytest.mark.parametrize("how", agg.AGGREGATIONS)
+def test_top_series_in_one_pass_equal_two(spark, how, capsys):
+    rnd = random.Random(3)
+    rows_ = [(rnd.choice(["a", "b", "c", "d", None]), rnd.randint(1, 4), rnd.uniform(-5, 5), rnd.uniform(0, 3), rnd.uniform(1, 2)) for _ in range(400)]
+    rows_ += [("e", 1, 0.0, 0.0, 0.0), ("tie1", 1, 1.0, 1.0, 1.0), ("tie2", 1, 1.0, 1.0, 1.0), ("f", 2, None, 1.0, 1.0)]
+    d = spark.createDataFrame(rows_, "s string, x int, y double, v double, w double").repartition(3)
+    for n in (0, 2, 5, 100):
+        two = agg.aggregate(ranking.top_n_series(d, "s", "y", n), ["s", "x"], how, "y", "v", "w", True)
+        one = agg.aggregate_top(d, ["s", "x"], how, "y", "v", "w", True, "s", n)
+        flat = lambda df: sorted(tuple(None if v is None else round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) if c == "s" else c for c in two.columns]).collect())
+        assert flat(one) == flat(two)
+
+
+def test_top_series_read_the_facts_once(spark, tmp_path):
+    spark.range(3000).select((F.col("id") % 9).cast("string").alias("s"), (F.col("id") % 5).alias("x"), F.col("id").cast("double").alias("y")).write.parquet(str(tmp_path / "t"))
+    d = agg.aggregate_top(spark.read.parquet(str(tmp_path / "t")), ["s", "x"], "sum(a)", "y", series="s", n=3)
+    d.collect()
+    plan = d._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and plan.count("ReadSchema") == 1

@@ -98,6 +98,48 @@ def _(spark, sf):
     return rounded(windows.interpolate(_gaps(spark, sf), "y", ["brand"], "year"), 4, "y")
 
 
+# Event rows by type: five groups that grow with the table, always cut into slices.
+EVENT_ORDER = "(PARTITION BY event_type ORDER BY ts, event_id"
+SOME = "CASE WHEN event_id % 5 <> 0 THEN value END"
+HIGH = "CASE WHEN value > 400 THEN value END"
+
+
+def _sliced(spark, sf, value):
+    d = table(spark, sf, "events").select("event_id", "event_type", "ts", F.expr(value).alias("y"))
+    return d, ordered.plan_slices(d, "ts", ["event_type"], least=12)
+
+
+@query("w4_rolling_sum_any_size", f"""
+SELECT event_id, CASE WHEN count(y) OVER w = 4 THEN {r('sum(y) OVER w', 2)} END AS y FROM (SELECT *, {SOME} AS y FROM events)
+WINDOW w AS {EVENT_ORDER} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""")
+def _(spark, sf):
+    d, slices = _sliced(spark, sf, SOME)
+    return rounded(windows.rolling_sum(d, "y", ["event_type"], ["ts", "event_id"], 4, slices=slices).select("event_id", "y"), 2, "y")
+
+
+@query("w5_forward_fill_limited_any_size", f"SELECT event_id, last_value({HIGH} IGNORE NULLS) OVER {EVENT_ORDER} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS y FROM events")
+def _(spark, sf):
+    d, slices = _sliced(spark, sf, HIGH)
+    return windows.ffill(d, "y", ["event_type"], ["ts", "event_id"], 2, slices=slices).select("event_id", "y")
+
+
+@query("w6_backward_fill_any_size", f"SELECT event_id, first_value({HIGH} IGNORE NULLS) OVER {EVENT_ORDER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS y FROM events")
+def _(spark, sf):
+    d, slices = _sliced(spark, sf, HIGH)
+    return windows.bfill(d, "y", ["event_type"], ["ts", "event_id"], slices=slices).select("event_id", "y")
+
+
+@query("w7_interpolation_any_size", f"""
+WITH n AS (SELECT event_id, event_type, ts, {HIGH} AS y, row_number() OVER {EVENT_ORDER}) AS i FROM events),
+k AS (SELECT event_id, y, i, last_value(CASE WHEN y IS NOT NULL THEN i END IGNORE NULLS) OVER a AS i0, last_value(y IGNORE NULLS) OVER a AS v0,
+ first_value(CASE WHEN y IS NOT NULL THEN i END IGNORE NULLS) OVER b AS i1, first_value(y IGNORE NULLS) OVER b AS v1 FROM n
+ WINDOW a AS (PARTITION BY event_type ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY event_type ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT event_id, {r('CASE WHEN y IS NOT NULL THEN y WHEN i1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (CAST(i - i0 AS DOUBLE) / nullif(i1 - i0, 0)) END')} AS y FROM k""")
+def _(spark, sf):
+    d, slices = _sliced(spark, sf, HIGH)
+    return rounded(windows.interpolate(d, "y", ["event_type"], ["ts", "event_id"], slices=slices).select("event_id", "y"), 4, "y")
+
+
 @query("w8_stack_levels", f"""
 WITH g AS (SELECT * FROM {BALANCES} WHERE length(rb) % 2 = 0 OR segment <> 'BUILDING'), f AS (SELECT rb, segment, coalesce(g.y, 0) AS y FROM (SELECT DISTINCT rb FROM g) CROSS JOIN (SELECT DISTINCT segment FROM g) LEFT JOIN g USING (rb, segment))
 SELECT rb, segment, {r('y', 2)} AS y, {r('pos - CASE WHEN y > 0 THEN y ELSE 0 END', 2)} AS base_pos, {r('pos', 2)} AS top_pos, {r('neg - CASE WHEN y < 0 THEN y ELSE 0 END', 2)} AS base_neg, {r('neg', 2)} AS top_neg FROM
@@ -191,8 +233,24 @@ def _(spark, sf):
 WITH f AS {facts_sql('brand', 'year', 'a')}, t AS (SELECT brand FROM f GROUP BY 1 ORDER BY sum(abs(a)) DESC, brand LIMIT 5)
 SELECT CASE WHEN brand IN (SELECT brand FROM t) THEN brand ELSE 'Other' END AS brand, year, {r('sum(a)', 2)} AS a FROM f GROUP BY 1, 2""")
 def _(spark, sf):
-    d = ranking.top_n_series(facts(spark, sf, "brand", "year", "a"), "brand", "a", 5)
-    return rounded(agg.aggregate(d, ["brand", "year"], "sum(a)", "a"), 2, "a")
+    d = facts(spark, sf, "brand", "year", "a")
+    return rounded(agg.aggregate_top(d, ["brand", "year"], "sum(a)", "a", series="brand", n=5), 2, "a")
+
+
+@query("t6_top_n_weighted", f"""
+WITH f AS {facts_sql('brand', 'year', 'a', 'b', 'c')}, t AS (SELECT brand FROM f GROUP BY 1 ORDER BY sum(abs(a)) DESC, brand LIMIT 3)
+SELECT CASE WHEN brand IN (SELECT brand FROM t) THEN brand ELSE 'Other' END AS brand, year, {r('sum(a * b) / sum(c)')} AS a, {r('min(a)', 2)} AS range_min, {r('max(a)', 2)} AS range_max FROM f GROUP BY 1, 2""")
+def _(spark, sf):
+    d = facts(spark, sf, "brand", "year", "a", "b", "c")
+    d = agg.aggregate_top(d, ["brand", "year"], "sum(a*b)/sum(c)", "a", "b", "c", True, "brand", 3)
+    return rounded(rounded(d, 4, "a"), 2, "range_min", "range_max")
+
+
+@query("t6_top_n_rows", f"""
+WITH t AS (SELECT event_type FROM events GROUP BY 1 ORDER BY sum(abs(value)) DESC, event_type LIMIT 2)
+SELECT event_id, CASE WHEN event_type IN (SELECT event_type FROM t) THEN event_type ELSE 'Other' END AS event_type, value FROM events""")
+def _(spark, sf):
+    return ranking.top_n_series(table(spark, sf, "events").select("event_id", "event_type", "value"), "event_type", "value", 2)
 
 
 @query("t7_timeslice_labels", f"""
