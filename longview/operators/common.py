@@ -6,11 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Dimensions whose number of distinct values is set by the calendar or by the
-# number of model runs, not by the volume of data.  A window partition that runs
-# along one of them stays small at any scale.
-CALENDAR = ("year", "month", "day", "hour", "season", "timeslice", "scenario")
-
 BLANK = "{BLANK}"
 
 NUMERIC = (T.NumericType,)
@@ -53,5 +48,14 @@ def attach(df: DataFrame, by: list[str], totals: DataFrame, values: list[str], g
     return df.join(right, cond, "left").select(*df.columns, *values)
 
 
+def once(df: DataFrame, *keys) -> DataFrame:
+    """``df`` dealt by ``keys`` so that several uses of it in one query are computed once.
+
+    Spark makes equal exchanges once, but uses that need different columns have different ones. The condition, true for
+    every row though the optimizer can't know, keeps all columns in all uses, so that they are one plan down to the exchange.
+    """
+    return df.filter(F.xxhash64(*df.columns) >= F.lit(-2**63)).repartition(*keys)
+
+
 def without(columns: list[str], *drop: str) -> list[str]:
     return [c for c in columns if c not in drop]

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from longview.functions import scalars as S
 from longview.operators import ordered
-from longview.operators.common import CALENDAR, attach, without
+from longview.operators.common import attach, without
 
 CONSECUTIVE, TOTAL = "Consecutive", "Total"
 OPS = ("Difference", "Ratio")
@@ -20,28 +20,17 @@ def compare(df: DataFrame, op: str, col: str, base, y: str, slices=None) -> Data
     ``"Consecutive"`` (the preceding value of ``col``) or ``"Total"`` (the group sum).
     Base rows and rows without a result are removed.
 
-    Along a calendar-like column a group is short and one window does it.  Along
-    any other column the reference is aggregated per group and joined back, so no
-    task has to hold a whole group.
+    Whatever the column, no task has to hold a whole group: a base value or total is aggregated per group and joined
+    back, and the preceding value comes from sliced groups (``slices`` of ``ordered.plan_slices``, else planned here).
     """
     if op not in OPS:
         raise ValueError(f"unknown comparison {op!r}")
     by = without(df.columns, col, y)
-    short = bool(by) and col in CALENDAR
     if base == CONSECUTIVE:
-        if short:
-            d = df.withColumn("__ref", F.lag(y).over(Window.partitionBy(*by).orderBy(col)))
-        else:
-            d = ordered.previous_value(df, y, by, [col], "__ref", slices)
+        d = ordered.previous_value(df, y, by, [col], "__ref", slices)
     else:
-        if base == TOTAL:
-            reference = F.sum(y)
-        else:
-            reference = F.max(F.when(F.col(col) == F.lit(base), F.col(y)))
-        if short:
-            d = df.withColumn("__ref", reference.over(Window.partitionBy(*by)))
-        else:
-            d = attach(df, by, df.groupBy(*by).agg(reference.alias("__ref")), ["__ref"])
+        reference = F.sum(y) if base == TOTAL else F.max(F.when(F.col(col) == F.lit(base), F.col(y)))
+        d = attach(df, by, df.groupBy(*by).agg(reference.alias("__ref")), ["__ref"])
     ref = F.col("__ref")
     if base not in (CONSECUTIVE, TOTAL):
         ref = F.coalesce(ref, F.lit(0))

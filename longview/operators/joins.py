@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from longview.functions import scalars as S
+from longview.operators.common import once
 
 MAX_INLINE_ROWS = 10_000
+EXPAND_BUCKETS = 64
 
 
 def one_row_per_key(lookup: DataFrame, key: str) -> DataFrame:
@@ -94,20 +96,18 @@ def unmapped(df: DataFrame, column: str, mapping: DataFrame, key: str | None = N
 
 
 def expand_by(df: DataFrame, other: DataFrame) -> DataFrame:
-    """Every row of ``df`` with every row of a small table.
+    """Every row of ``df`` with every row of ``other``, whatever their sizes.
 
-    A table of at most ``MAX_INLINE_ROWS`` rows becomes an array literal that each
-    row explodes in place: no shuffle, and the row count of the result is the
-    product asked for.  Larger tables use Spark's own product.
+    The rows of ``other`` are numbered inside buckets of their hash. The number of rows of each bucket, a short array,
+    goes to every row of ``df``, which counts it out in place; the numbers then meet their rows in an equi-join, which
+    Spark broadcasts or deals by size. Neither table is collected, and no product is made by comparing rows.
     """
-    rows = other.limit(MAX_INLINE_ROWS + 1).collect()
-    if not rows:
-        return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in other.schema.fields]).limit(0)
-    if len(rows) > MAX_INLINE_ROWS:
-        return df.crossJoin(other)
-    items = F.array(*[F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name)
-                                 for f in other.schema.fields]) for r in rows])
-    return df.select("*", F.inline(items))
+    bucket = F.pmod(F.xxhash64(*other.columns), F.lit(EXPAND_BUCKETS)).cast("int").alias("__b")
+    number = F.row_number().over(Window.partitionBy("__b").orderBy(*other.columns))
+    rows = once(other.select("*", bucket), "__b").withColumn("__i", number)
+    sizes = rows.groupBy("__b").agg(F.count(F.lit(1)).cast("int").alias("__n")).agg(F.collect_list(F.struct("__b", "__n")))
+    each = df.select("*", F.inline(sizes.scalar())).select("*", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__i"))
+    return each.join(rows, ["__b", "__i"]).select(*df.columns, *other.columns)
 
 
 def expand_values(df: DataFrame, column: str, values) -> DataFrame:

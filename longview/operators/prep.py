@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from longview.functions import scalars as S
 from longview.operators import ordered, ranking, windows
-from longview.operators.common import attach, without
+from longview.operators.common import attach, once, without
 from longview.operators.joins import expand_by
 
 
@@ -35,6 +35,7 @@ def stack_levels(df: DataFrame, x: str, y: str, series: str, by: list[str] | Non
     Series are stacked in the custom order, else by name.
     """
     by = list(by or [])
+    df = once(df, *by, x)
     # Levels of all series at every x of their panel: outlines of areas need the missing ones too.
     names = [*by, x, series]
     each = df.select(*[F.col(c).alias(f"__{c}") for c in by], series).distinct()

@@ -37,22 +37,23 @@ def _(spark, sf):
     return rounded(d, 2, "range_min", "range_max")
 
 
-REVENUE = f"(SELECT rb, sum(a) / 1e6 AS a FROM {facts_sql('rb', 'a')} GROUP BY 1)"
+# Sums carry two decimals, so that millions carry eight: rounded there, no value lies between two results.
+REVENUE = f"(SELECT rb, sum(a) * 1e-6 AS a FROM {facts_sql('rb', 'a')} GROUP BY 1)"
 CENTROIDS = "(SELECT n_name AS id, n_nationkey * 2.0 - 120 AS long, n_nationkey + 25.0 AS lat, n_regionkey AS region FROM nation)"
 
 
 @query("v4_area_map", f"""
-SELECT rb, {r('a', 6)} AS a, CASE WHEN a <= 113 THEN '<= 113.0' WHEN a <= 116 THEN '113.0 - 116.0' ELSE '> 116.0' END AS bin_label, region FROM {REVENUE} JOIN {CENTROIDS} ON id = rb""")
+SELECT rb, {r('a', 8)} AS a, CASE WHEN a <= 113 THEN '<= 113.0' WHEN a <= 116 THEN '113.0 - 116.0' ELSE '> 116.0' END AS bin_label, region FROM {REVENUE} JOIN {CENTROIDS} ON id = rb""")
 def _(spark, sf):
     spec = {"x": "rb", "y": "a", "y_scale": "1e-6", "chart_type": "Area Map", "map_bin": "Manual", "map_manual": "113, 116"}
     d, _, _ = view.map_view(facts(spark, sf, "rb", "a"), spec)
     regions = table(spark, sf, "nation").select(F.col("n_name").alias("rb"), F.col("n_regionkey").alias("region"))
-    return rounded(joins.join_attributes(d, regions, "rb").select("rb", "a", "bin_label", "region"), 6, "a")
+    return rounded(joins.join_attributes(d, regions, "rb").select("rb", "a", "bin_label", "region"), 8, "a")
 
 
 @query("v5_line_map_with_arrows", f"""
-WITH c AS {CENTROIDS}, g AS (SELECT from_nation, rb, sum(a) / 1e6 AS a FROM {facts_sql('from_nation', 'rb', 'a')} GROUP BY 1, 2)
-SELECT concat('NATION_', from_nation, '-', rb) AS route, {r('g.a', 6)} AS a, CASE WHEN g.a <= 1 THEN '<= 1.0' ELSE '> 1.0' END AS bin_label,
+WITH c AS {CENTROIDS}, g AS (SELECT from_nation, rb, sum(a) * 1e-6 AS a FROM {facts_sql('from_nation', 'rb', 'a')} GROUP BY 1, 2)
+SELECT concat('NATION_', from_nation, '-', rb) AS route, {r('g.a', 8)} AS a, CASE WHEN g.a <= 1 THEN '<= 1.0' ELSE '> 1.0' END AS bin_label,
  {r('CAST(f.long + (t.long - f.long) * 0.7 AS DOUBLE)', 4)} AS arrow_x, {r('CAST(f.lat + (t.lat - f.lat) * 0.7 AS DOUBLE)', 4)} AS arrow_y
 FROM g JOIN c f ON f.id = concat('NATION_', from_nation) JOIN c t ON t.id = rb""")
 def _(spark, sf):
@@ -64,7 +65,7 @@ def _(spark, sf):
     for side, i in (("from", 0), ("to", 1)):
         p = points.select(F.col("n_name").alias(f"__{side}"), F.col("x").alias(f"{side}_x"), F.col("y").alias(f"{side}_y"))
         rows = rows.join(p, ends[i] == F.col(f"__{side}")).drop(f"__{side}")
-    return rounded(prep.arrow_ends(rows, 0.7).select("route", "a", "bin_label", "arrow_x", "arrow_y"), 6, "a", "arrow_x", "arrow_y")
+    return rounded(rounded(prep.arrow_ends(rows, 0.7).select("route", "a", "bin_label", "arrow_x", "arrow_y"), 8, "a"), 4, "arrow_x", "arrow_y")
 
 
 @query("s10_full_load", f"""

@@ -60,9 +60,12 @@ NEED = {"sc": "tech segment year", "types": "tech", "crf": "year", "pvf_cap": "y
         "load": "segment year", "cap": "tech status brand year", "rmap": "brand", "hours": "month"}
 
 
+def _sums():
+    return F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.col("b") * F.col("c")).alias("bc")
+
+
 def roll_up(spark, sf, *keys):
-    return facts(spark, sf, *keys, "a", "b", "c").groupBy(*keys).agg(
-        F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.col("b") * F.col("c")).alias("bc"))
+    return facts(spark, sf, *keys, "a", "b", "c").groupBy(*keys).agg(*_sums())
 
 
 def rolled(spark, sf, *keys):
@@ -70,13 +73,36 @@ def rolled(spark, sf, *keys):
     return materialise(spark, roll_up(spark, sf, *keys))
 
 
+def covers(names) -> list[tuple[str, ...]]:
+    """The largest sets of keys among those that the tables need; every other set is part of one of them."""
+    sets = {frozenset(NEED[n].split()) for n in names}
+    return sorted(tuple(sorted(s)) for s in sets if not any(s < t for t in sets))
+
+
+def rolled_to(spark, sf, sets):
+    """The facts rolled up to each set of keys in one pass, written once for all uses in a query: (set of keys, rows)."""
+    keys = sorted({k for s in sets for k in s})
+    if len(sets) == 1:
+        d = roll_up(spark, sf, *keys).withColumn("at", F.lit(0))
+    else:
+        at = F.grouping_id()  # a bit for each key that the set doesn't have
+        d = facts(spark, sf, *keys, "a", "b", "c").groupingSets([[F.col(k) for k in s] for s in sets], *keys).agg(at.alias("id"), *_sums())
+        number = {sum(1 << len(keys) - 1 - i for i, k in enumerate(keys) if k not in s): n for n, s in enumerate(sets)}
+        d = d.withColumn("at", F.try_element_at(F.create_map(*[F.lit(v) for kv in number.items() for v in kv]), F.col("id").cast("int"))).drop("id")
+    d = materialise(spark, d)
+    return [(set(s), d.filter(F.col("at") == n).select(*s, "a", "b", "bc")) for n, s in enumerate(sets)]
+
+
 def inputs(spark, sf, *names):
-    """The derived tables, all from one roll-up of the facts to the keys they need."""
-    keys = sorted({k for n in names for k in NEED[n].split()})
-    f = rolled(spark, sf, *keys) if len(names) > 1 else roll_up(spark, sf, *keys)
+    """The derived tables, all from one pass over the facts: each from the smallest roll-up that has its keys."""
+    if len(names) == 1:
+        parts = [(set(NEED[names[0]].split()), roll_up(spark, sf, *NEED[names[0]].split()))]
+    else:
+        parts = rolled_to(spark, sf, covers(names))
     out = []
     for n in names:
         text = T[n].replace("AS INTEGER", "AS INT").replace("b * c", "bc")
+        f = min((p for p in parts if set(NEED[n].split()) <= p[0]), key=lambda p: len(p[0]))[1]
         d = spark.sql(f"WITH f AS (SELECT * FROM {{f}}) {text}", f=f)
         fixed = {c: F.col(c).cast("double") for c, k in d.dtypes if k.startswith("decimal")}
         d = d.withColumns(fixed) if fixed else d
