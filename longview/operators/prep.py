@@ -149,6 +149,24 @@ def polygons(points: DataFrame, group: str = "group", seq: str = "seq") -> DataF
     return points.groupBy(group).agg(F.min("id").alias("id"), outline.alias("outline"))
 
 
+def outline_chunks(points: DataFrame, group: str = "group", seq: str = "seq", size: int = 4096, slices=None) -> DataFrame:
+    """Outlines of any length in pieces of at most ``size`` points: group, chunk (from 0), id of the group, outline.
+
+    Points are numbered by slices of the group, so that no task holds an outline; each piece starts with the last point
+    of the one before, so that drawing the pieces gives the whole line.
+    """
+    d = ordered.number_rows(points, [group], [seq, "x", "y"], "__n", slices)
+    at = ((F.col("__n") - 1) / F.lit(size)).cast("long")
+    last = (F.col("__n") % size == 0) & (F.col("__n") > 0)
+    in_chunks = F.when(last, F.array(at, at + 1)).otherwise(F.array(at))
+    spread = d.select(group, "id", F.explode(in_chunks).alias("chunk"), F.struct(F.col(seq), F.col("x"), F.col("y")).alias("p"))
+    whole = d.groupBy(group).agg(F.max("__n").alias("__all"), F.min("id").alias("__id"))
+    pieces = spread.groupBy(group, "chunk").agg(F.sort_array(F.collect_list("p")).alias("outline"))  # at most size + 1 points
+    both = attach(pieces, [group], whole, ["__all", "__id"])
+    # The last point of a full last piece starts none.
+    return both.filter(F.col("chunk") * size < F.col("__all")).select(group, "chunk", F.col("__id").alias("id"), "outline")
+
+
 def arrow_ends(df: DataFrame, fraction: float) -> DataFrame:
     """Arrow head at ``fraction`` of the way from origin to destination."""
     return (df.withColumn("arrow_x", S.along("from_x", "to_x", fraction))

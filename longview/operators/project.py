@@ -141,8 +141,8 @@ def lowercase_strings(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.lower(F.col(c)) for c in string_columns(df)})
 
 
-def clean_sentinels(df: DataFrame, tokens=("Eps", "Undf"), convert: bool = True) -> DataFrame:
-    """Sentinel texts become 0; a text column turns numeric if every value parses.
+def clean_sentinels(df: DataFrame, tokens=("Eps", "Undf"), convert: bool = True, keep=()) -> DataFrame:
+    """Sentinel texts become 0; a text column turns numeric if every value parses, unless it is one to ``keep``.
 
     The all-or-nothing conversion changes the schema, so it costs one aggregate
     job over all text columns together.
@@ -151,7 +151,8 @@ def clean_sentinels(df: DataFrame, tokens=("Eps", "Undf"), convert: bool = True)
     if not texts:
         return df
     df = df.withColumns({c: F.when(F.col(c).isin(*tokens), F.lit("0")).otherwise(F.col(c)) for c in texts})
-    if not convert:
+    texts = [c for c in texts if c not in keep]
+    if not convert or not texts:
         return df
     checks = []
     for i, c in enumerate(texts):

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import AtomicType, StringType, StructField, StructType
 
 from longview.operators import aggregate, joins, project, ranking, reshape
 from longview.shared import hadoop_path, new_folder
@@ -91,12 +91,22 @@ def read_source(spark: SparkSession, scenarios: list[Scenario], src: dict) -> Da
     """One result table of several runs in one scan, tagged with ``scenario``.
 
     ``src``: ``file``; optional ``columns`` (positional rename), ``header`` (None for
-    none), ``transpose``, ``schema``.  Sentinels become 0, text columns that hold only
+    none), ``transpose``, ``schema``, ``texts`` (columns that stay text).  Sentinels become 0, text columns that hold only
     numbers become numeric, text is lowercased.
     """
     files = [f"{s.path}/{OUTPUT_DIR}/{src['file']}" for s in scenarios]
     header = not ("header" in src and src["header"] is None)
-    raw = csvfiles.scan(spark, files, src.get("schema"), header=header, extra={"__run": _run_folder()})
+    texts, extra = tuple(src.get("texts", ())), {"__run": _run_folder()}
+    raw = csvfiles.scan(spark, files, src.get("schema"), header=header, extra=extra)
+    if texts and any(k != "string" for c, k in (raw if "columns" not in src else raw.toDF(*src["columns"], "__run")).dtypes if c in texts):
+        # What was inferred as a number in these runs is read again as it is written: by name, so one layout at a time.
+        parts = []
+        for f in files:
+            kinds = csvfiles.scan(spark, [f], header=header).schema
+            named = src.get("columns", kinds.names)
+            kinds = StructType([StructField(k.name, StringType() if n in texts else k.dataType) for k, n in zip(kinds, named)])
+            parts.append(csvfiles.scan(spark, [f], kinds, header=header, extra=extra))
+        raw = csvfiles.united(parts)
     run = raw["__run"]
     if src.get("transpose"):
         return _transposed(raw, scenarios, src)
@@ -107,7 +117,7 @@ def read_source(spark: SparkSession, scenarios: list[Scenario], src: dict) -> Da
         body = raw.drop("__run")
     names = F.create_map(*[F.lit(v) for s in scenarios for v in (plain_path(s.path), s.name)])
     tagged = raw.withColumn("scenario", F.try_element_at(names, run)).drop("__run")
-    clean = project.lowercase_strings(project.clean_sentinels(tagged.select(*body.columns, "scenario")))
+    clean = project.lowercase_strings(project.clean_sentinels(tagged.select(*body.columns, "scenario"), keep=texts))
     lower_to_name = F.create_map(*[F.lit(v) for s in scenarios for v in (s.name.lower(), s.name)])
     return clean.withColumn("scenario", F.try_element_at(lower_to_name, F.lower("scenario")))
 
@@ -228,7 +238,7 @@ class ResultStore:
         self.folder = (folder or new_folder(spark)).rstrip("/")
 
     def manifest(self) -> dict[str, dict[str, dict]]:
-        """``{result: {run folder: {state, part, schema}}}``."""
+        """``{result: {run folder: {state, part, schema, kinds}}}``; kinds are the column types that the run has by itself."""
         try:
             return json.loads(self.spark.read.text(f"{self.folder}/manifest.json", wholetext=True).first()[0])
         except AnalysisException:
@@ -246,42 +256,52 @@ class ResultStore:
         """The result for the active runs; only new and changed ones are read from their files."""
         manifest, now = self.manifest(), self._states(name, active)
         have = manifest.setdefault(name, {})
-        stale = [s for s in active if have.get(s.path, {}).get("state") != now[s.path]]
-        if stale:
-            result = {k: v for k, v in self.catalog[name].items() if k != "index"}
-            df = read_result(self.spark, stale, result, self.meta)
-            number = F.create_map(*[F.lit(v) for i, s in enumerate(stale) for v in (s.name, i)])
-            target = f"{self.folder}/{uuid.uuid4().hex}"
-            df.withColumn("__run", F.try_element_at(number, F.col("scenario"))).write.partitionBy("__run").parquet(target)
-            old = [have[s.path]["part"] for s in stale if s.path in have]
-            for i, s in enumerate(stale):
-                have[s.path] = {"state": now[s.path], "part": f"{target}/__run={i}", "schema": df.schema.jsonValue()}
-            sinks.put_text(self.spark, f"{self.folder}/manifest.json", json.dumps(manifest))
-            for part in old:
-                fs, path = hadoop_path(self.spark, part)
-                fs.delete(path, True)
+        self._write(name, manifest, now, [s for s in active if have.get(s.path, {}).get("state") != now[s.path]], ())
+        # A column that is text in some runs is text in all, as if they had been read together.
+        texts = sorted({c for s in active for c, t in have[s.path]["kinds"].items() if t == "string"})
+        mixed = [s for s in active if any(f["name"] in texts and f["type"] != "string" for f in have[s.path]["schema"]["fields"])]
+        if mixed and not self.catalog[name].get("preprocess") and "sources" not in self.catalog[name]:
+            self._write(name, manifest, now, mixed, texts)
         df = self._parts([have[s.path] for s in active])
         index = self.catalog[name].get("index")
         return aggregate.densify(df, ["scenario", *index]) if index else df
 
+    def _write(self, name: str, manifest: dict, now: dict, runs: list[Scenario], texts) -> None:
+        """One job writes a part for each of the runs; the new manifest then takes the place of the old one."""
+        if not runs:
+            return
+        have = manifest[name]
+        result = {k: v for k, v in self.catalog[name].items() if k != "index"} | ({"texts": texts} if texts else {})
+        df = read_result(self.spark, runs, result, self.meta)
+        number = F.create_map(*[F.lit(v) for i, s in enumerate(runs) for v in (s.name, i)])
+        target = f"{self.folder}/{uuid.uuid4().hex}"
+        df.withColumn("__run", F.try_element_at(number, F.col("scenario"))).write.partitionBy("__run").parquet(target)
+        old = [have[s.path]["part"] for s in runs if s.path in have]
+        for i, s in enumerate(runs):
+            schema = df.schema.jsonValue()
+            kinds = have[s.path]["kinds"] if texts else {f["name"]: f["type"] for f in schema["fields"]}
+            have[s.path] = {"state": now[s.path], "part": f"{target}/__run={i}", "schema": schema, "kinds": kinds}
+        sinks.put_text(self.spark, f"{self.folder}/manifest.json", json.dumps(manifest))
+        for part in old:
+            fs, path = hadoop_path(self.spark, part)
+            fs.delete(path, True)
+
     def _parts(self, entries: list[dict]) -> DataFrame:
-        """One scan per schema; columns of several types become text."""
+        """One scan per schema; a column of several types becomes the widest, text above all."""
         kinds: dict[str, set] = {}
         groups: dict[str, list[dict]] = {}
         for e in entries:
-            groups.setdefault(json.dumps(e["schema"]), []).append(e)
-            for f in e["schema"]["fields"]:
-                kinds.setdefault(f["name"], set()).add(json.dumps(f["type"]))
-        mixed = [c for c, k in kinds.items() if len(k) > 1]
+            groups.setdefault(json.dumps([e["schema"], e["kinds"]]), []).append(e)
+            for c, kind in e["kinds"].items():
+                kinds.setdefault(c, set()).add(kind if isinstance(kind, str) else json.dumps(kind))
+        wide = {c: k.copy().pop() if len(k) == 1 else "string" if k & {"string", "boolean", "date", "timestamp"} else "double" for c, k in kinds.items()}
         frames = []
         for same in groups.values():
             schema = StructType.fromJson(same[0]["schema"])
             there = [e["part"] for e in same if _exists(self.spark, e["part"])]  # a run without rows has no part
             df = self.spark.read.schema(schema).parquet(*there) if there else self.spark.createDataFrame([], schema)
-            texts = [c for c in mixed if c in df.columns]
-            numbers = {json.dumps("string"), json.dumps("boolean")}
-            kind = {c: "string" if kinds[c] & numbers else "double" for c in texts}
-            frames.append(df.withColumns({c: F.col(c).cast(kind[c]) for c in texts}) if texts else df)
+            casts = {f.name: F.col(f.name).cast(wide[f.name]) for f in schema.fields if isinstance(f.dataType, AtomicType) and f.dataType.typeName() != wide[f.name] and not wide[f.name].startswith("{")}
+            frames.append(df.withColumns(casts) if casts else df)
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
     def clear(self) -> None:

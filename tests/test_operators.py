@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from longview.functions import scalars as S
 from longview.operators import aggregate as agg
-from longview.operators import joins, prep, project, ranking, reshape, windows
+from longview.operators import joins, ordered, prep, project, ranking, reshape, windows
 from longview.operators.compare import compare, compare_chain
 
 DATA = [("s1", "a", 2020, 1.0), ("s1", "b", 2020, 3.0), ("s2", "a", 2020, 2.0), ("s1", "a", 2021, 5.0), ("s2", "a", 2021, 0.0)]
@@ -266,3 +266,26 @@ def test_top_series_read_the_facts_once(spark, tmp_path):
     d.collect()
     plan = d._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "ReusedExchange" in plan and plan.count("ReadSchema") == 1
+
+
+def test_outline_chunks_draw_the_whole_line(spark):
+    points = spark.range(1000).select(F.when(F.col("id") < 900, "big").when(F.col("id") < 964, "even").otherwise("small").alias("group"), F.col("id"),
+                                      (F.col("id") * 7919 % 1000).alias("seq"), F.col("id").alias("x"), (-F.col("id")).alias("y"))
+    whole = {r.group: [tuple(p) for p in r.outline] for r in prep.polygons(points).collect()}
+    for slices in (ordered.Slices(), ordered.plan_slices(points, "seq", ["group"], least=7)):
+        got = {}
+        for r in prep.outline_chunks(points, size=32, slices=slices).orderBy("group", "chunk").collect():
+            assert len(r.outline) <= 33
+            line = got.setdefault(r.group, [])
+            assert r.chunk == 0 or tuple(r.outline[0]) == line[-1]
+            line += [tuple(p) for p in r.outline][1 if r.chunk else 0:]
+        assert got == whole
+
+
+def test_products_of_any_size(spark):
+    a = spark.range(5).select(F.col("id").alias("a"))
+    b = spark.range(3000).select((F.col("id") % 1500).alias("b"), F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise("x").alias("c"))
+    got = joins.expand_by(a, b)
+    assert got.count() == 15_000 and got.filter("c IS NULL").count() == 5 * b.filter("c IS NULL").count()
+    assert got.groupBy("a", "b", "c").count().exceptAll(a.crossJoin(b).groupBy("a", "b", "c").count()).count() == 0
+    assert joins.expand_by(a.limit(0), b).count() == 0

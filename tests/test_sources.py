@@ -117,11 +117,17 @@ def test_store_reads_changed_and_new_runs_only(spark, runs, rows, tmp_path):
     put(runs, "runs/Base Case/outputs/gen.csv", "Dim1,year,month,day,hour,Gen\nCOAL,2020,1,1,0,none\n")
     d = again.load("Gen", found)
     assert dict(d.dtypes)["Gen"] == "string" and sorted(r.Gen for r in d.collect())[-1] == "none"
+    whole = scenarios.read_source(spark, found, made["Gen"])
+    assert whole.dtypes == d.select(*whole.columns).dtypes and rows(whole) == rows(d.select(*whole.columns))
+    # Without that run the other's numbers are numbers again.
+    alone = again.load("Gen", [x for x in found if x.name != "Base Case"])
+    assert dict(alone.dtypes)["Gen"] == "double" and sorted(r.Gen for r in alone.collect()) == [0.0, 2.0, 25.0]
     # Another definition of the result is another state.
     other = scenarios.ResultStore(spark, {"Gen": made["Gen"] | {"preprocess": [{"func": aggregate.sum_over, "args": {"group_cols": ["year"]}}]}}, folder=str(tmp_path / "store"))
     put(runs, "runs/Base Case/outputs/gen.csv", "Dim1,year,month,day,hour,Gen\nCOAL,2020,1,1,0,7\n")
     other.load("Gen", found)
     assert all(state(other)[k] != third[k] for k in third)
+    assert sorted(r.Gen for r in again.load("Gen", found[:1]).collect()) == [7.0]
     other.clear()
     assert not (tmp_path / "store").exists()
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from longview.functions import scalars as S
 from longview.operators import aggregate as agg
-from longview.operators import joins, prep, project, reshape
+from longview.operators import joins, ordered, prep, project, reshape
 from longview.operators.compare import compare, compare_chain
 from workload.facts import events, events_sql, facts, facts_sql, table
 from workload.registry import query, r, rounded
@@ -300,6 +300,17 @@ def _(spark, sf):
     return d.select("group", "id", text.alias("outline"))
 
 
+@query("a34_outline_chunks", f"""
+WITH p AS (SELECT id AS grp, seq, id, x, y, row_number() OVER (PARTITION BY id ORDER BY seq, x, y) AS n, id AS first FROM {BOUNDARY} WHERE NOT hole),
+c AS (SELECT *, (n - 1) // 16 AS chunk FROM p UNION ALL SELECT *, n // 16 FROM p WHERE n % 16 = 0 AND n < (SELECT max(n) FROM p q WHERE q.grp = p.grp))
+SELECT grp AS "group", chunk, first AS id, string_agg(concat(x, ' ', y), ';' ORDER BY n) AS outline FROM c GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    points = boundary_points(spark, sf).filter(~F.col("hole")).withColumn("group", F.col("id"))
+    d = prep.outline_chunks(points, size=16, slices=ordered.plan_slices(points, "seq", ["group"], least=6))
+    text = F.array_join(F.transform("outline", lambda p: F.concat(p["x"].cast("string"), F.lit(" "), p["y"].cast("string"))), ";")
+    return d.select("group", "chunk", "id", text.alias("outline"))
+
+
 @query("a35_complete_categories", f"""
 WITH g AS (SELECT partkey, flag, avg(b) AS b FROM {facts_sql('partkey', 'flag', 'b')} GROUP BY 1, 2)
 SELECT p.partkey, f.flag, {r('coalesce(g.b, 0)')} AS b FROM (SELECT DISTINCT partkey FROM g) p CROSS JOIN (SELECT DISTINCT flag FROM g) f
