@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,28 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Tables:
+    """Tables of one computation, as Parquet in the shared folder, until ``drop``.
+
+    For loops: a checkpoint keeps what its plan knows of order and values, and over many rounds of joins that grows beyond
+    the driver's memory while the tables stay small. A table that is read again knows its columns only.
+    """
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.folder, self.number = spark, f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}", 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.number += 1
+        path = f"{self.folder}/{self.number}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def words_in(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -7,8 +7,10 @@ share (a hot key) need not be looked up: every set has ``SLACK`` segments more t
 than that may look at the one-deletion neighbourhoods of its other segments instead, where two parts that differ by one
 shingle meet, so that each of them counts twice; the cheaper way is taken. What meets is verified on the whole sets.
 
-Equal sets are one node. Members of a key are compared with one hub of the key, then with four more and so on, and only
-across components, so a group of near copies costs about its members, and no pair of an unconnected group is left out.
+Equal sets are one node. Members of a key are compared with a few hubs of the key, then with many more and so on, and
+only across components, so a group of near copies costs about its members, and no pair of an unconnected group is left
+out. Sizes and parity bits, which bound the difference of two sets from below, rule most other pairs out before their
+texts are fetched.
 """
 
 from __future__ import annotations
@@ -21,15 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from longview.llm.common import written
+from longview.llm.common import Tables, written
 from longview.llm.components import components
 
 #: Hot keys that each set may leave out, and from how many sets on a key is hot.
 SLACK, HOT = 4, 50
 #: Keys that one task compares at once, on average, and keys that a task holds before it passes them on.
 COMPARED_AT_ONCE, HELD = 2_000_000, 1_000_000
-#: Hot keys (eight bytes each) of sets in the deletion mode that are sent to all tasks; beyond it they are joined by a shuffle.
+#: Numbers of eight bytes (rows whose texts are wanted, hot keys of sets in the deletion mode) that are sent to all tasks;
+#: beyond it they are joined by a shuffle.
 SENT = 500_000
+#: Long numbers that hold the parities of a set: which of as many classes as there are bits hold an odd number of shingles.
+PARITIES = [f"p{i}" for i in range(4)]
+#: Members of a key that are its hubs at first, and how many times as many next.
+HUBS, MORE = 8, 16
 #: Cached words of one Python worker; a full cache is emptied.
 CACHED_WORDS = 500_000
 
@@ -73,6 +80,13 @@ class Shingles:
         return np.unique(_mixed(total))
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """The parity bits of a set. Two sets differ in at least as many shingles as bits."""
+    bits = 64 * len(PARITIES)
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 class Plan:
     """Bands of set sizes, their segments, and how many of these a set of some size needs."""
 
@@ -197,6 +211,12 @@ def _several(met: DataFrame) -> DataFrame:
     return met.join(counts, "key")
 
 
+def narrowed(texts: DataFrame, rows: DataFrame, table: Tables) -> DataFrame:
+    """Texts of the given rows. Up to ``SENT`` rows are sent to all tasks, so that the others' texts aren't shuffled."""
+    rows = table(rows.distinct())
+    return texts.join(F.broadcast(rows) if rows.count() <= SENT else rows, "row")
+
+
 class Join:
     """The steps of the join over one table of sets: (row, n, set, packed)."""
 
@@ -246,10 +266,10 @@ class Join:
         return rows.mapInArrow(block, "bucket long, entries binary, key long, member long")
 
     def candidates(self) -> DataFrame:
-        """(key, row, n, probe): rows of a key may be similar if one of them is to be looked up."""
+        """(key, row, n, probe, parities): rows of a key may be similar if one of them is to be looked up."""
         rows = self.sets.filter("n > 0").select("row", "set", "packed")
         met = _repeated(self._blocks(rows, False))
-        met = met.withColumn("row", F.shiftright("member", 1)).join(self.nodes.select("row", "n"), "row")  # copies go
+        met = met.withColumn("row", F.shiftright("member", 1)).join(self.nodes.select("row", "n", *PARITIES), "row")  # copies go
         met = written(_several(written(met)))
         hot = F.col("sharing") > self.hot
         load = met.filter(hot).groupBy("member").agg(F.count("*").alias("hot"), F.sum("sharing").alias("load"), F.first("n").alias("n"),
@@ -263,12 +283,12 @@ class Join:
         more = written(_repeated(self._blocks(more, True)))
         failed = more.filter("key IS NULL").select("member")
         whole = written(load.filter(~dearer).select("member").union(failed).distinct().withColumn("whole", F.lit(True)))
-        found = met.join(whole, "member", "left").select("key", "row", "n", (~hot | F.col("whole").isNotNull()).alias("probe"))
-        near = more.filter("key IS NOT NULL").withColumn("row", F.shiftright("member", 1)).join(self.nodes.select("row", "n"), "row")
-        near = near.select((-1 - F.col("key")).alias("key"), "row", "n", F.lit(True).alias("probe")).distinct()
+        found = met.join(whole, "member", "left").select("key", "row", "n", (~hot | F.col("whole").isNotNull()).alias("probe"), *PARITIES)
+        near = more.filter("key IS NOT NULL").withColumn("row", F.shiftright("member", 1)).join(self.nodes.select("row", "n", *PARITIES), "row")
+        near = near.select((-1 - F.col("key")).alias("key"), "row", "n", F.lit(True).alias("probe"), *PARITIES).distinct()
         return found.union(near)
 
-    def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    def verified(self, pairs: DataFrame, texts: DataFrame, table: Tables) -> DataFrame:
         """The pairs (hub, row) that are similar, by their whole sets."""
         percent, size = self.plan.percent, self.shingle
 
@@ -290,35 +310,48 @@ class Join:
                     fine.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield batch.select([0, 1]).filter(pa.array(fine, pa.bool_()))
 
+        texts = narrowed(texts, pairs.select("row").union(pairs.select("hub")), table)
         # Written first: either join may then split a hub that is in very many pairs.
-        half = written(pairs.join(texts, "row").select("hub", "row", F.col("packed").alias("b")))
+        half = table(pairs.join(texts, "row").select("hub", "row", F.col("packed").alias("b")))
         whole = half.join(texts.select(F.col("row").alias("hub"), F.col("packed").alias("a")), "hub").select("hub", "row", "a", "b")
         return whole.mapInArrow(check, "hub long, row long")
 
-    def roots(self) -> DataFrame:
-        """(row, root): each node that isn't the first of its component, and that first one."""
-        open_ = written(self.candidates().withColumn("root", F.col("row")))
-        texts = written(self.sets.select("row", "packed").join(open_.select("row").distinct(), "row"))
-        links, found, width = None, None, 1
+    def roots(self) -> DataFrame | None:
+        """(row, root) of each node that shares a key with another; root is the first row of its component."""
+        table = Tables(self.sets.sparkSession)
+        open_ = table(self.candidates())
+        if open_.isEmpty():
+            table.drop()
+            return None
+        placed = table(open_.select("row").distinct().withColumn("root", F.col("row")))
+        texts = written(narrowed(self.sets.select("row", "packed"), placed.select("row"), table))
+        width = HUBS
         while True:
-            spread = open_.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("probe").alias("probe"))
-            alive = written(spread.filter("a < b AND probe").select("key"))
-            open_ = written(open_.join(alive, "key"))
+            now = open_.join(placed, "row")
+            spread = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("probe").alias("probe"))
+            open_ = table(now.join(spread.filter("a < b AND probe").select("key"), "key"))
             if open_.isEmpty():
                 break
             order = Window.partitionBy("key").orderBy(F.xxhash64("row"), "row")
             hubs = open_.filter("probe").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= width)
-            hubs = written(hubs.select("key", F.col("row").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root")))
-            sizes = 100 * F.least("n", "hub_n") >= self.plan.percent * F.greatest("n", "hub_n")
-            pairs = open_.join(hubs, "key").filter((F.col("root") != F.col("hub_root")) & sizes).select("hub", "row").distinct()
-            new = written(self.verified(written(pairs), texts))
-            open_ = written(open_.join(hubs.select("key", F.col("hub").alias("row")), ["key", "row"], "left_anti"))
-            width *= 4
-            if not new.isEmpty():
-                links = new if links is None else written(links.union(new))
-                found = components(links.select(F.col("hub").alias("u"), F.col("row").alias("v"))).select(F.col("u").alias("row"), F.col("v").alias("root"))
-                open_ = written(open_.drop("root").join(found, "row", "left").withColumn("root", F.coalesce("root", "row")))
-        return found
+            hubs = table(hubs.select("key", F.col("row").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"), *[F.col(p).alias(f"hub_{p}") for p in PARITIES]))
+            # Which pairs can be similar by their sizes and parities is settled within the join, before pairs are rows.
+            percent, differ = self.plan.percent, sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"hub_{p}"))) for p in PARITIES), F.lit(0))
+            fits = (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & ((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("hub_n")))
+            members = open_.withColumnRenamed("key", "k")
+            pairs = members.join(hubs, (F.col("k") == F.col("key")) & (F.col("root") != F.col("hub_root")) & fits)
+            pairs = table(pairs.select(F.greatest("hub", "row").alias("row"), F.least("hub", "row").alias("hub")).distinct())
+            links = table(self.verified(pairs, texts, table))
+            open_ = open_.join(hubs.select("key", F.col("hub").alias("row")), ["key", "row"], "left_anti").select("key", "row", "n", "probe", *PARITIES)
+            width *= MORE
+            if not links.isEmpty():
+                of = lambda row, to: placed.select(F.col("row").alias(row), F.col("root").alias(to))
+                steps = links.join(of("hub", "u"), "hub").join(of("row", "v"), "row").select("u", "v")
+                steps = components(steps).select(F.col("u").alias("root"), F.col("v").alias("least"))
+                placed = table(placed.join(steps, "root", "left").select("row", F.coalesce("least", "root").alias("root")))
+        placed = written(placed)
+        table.drop()
+        return placed
 
 
 def shingle_sets(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -331,18 +364,20 @@ def shingle_sets(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
 
         shingles = Shingles(shingle)
         for batch in batches:
-            n, same, packed = [], [], []
+            n, same, packed, odd = [], [], [], []
             for text in batch.column(1):
                 words = shingles.words(text.as_py())
                 found = shingles(words)
                 n.append(len(found))
                 same.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 packed.append(zlib.compress(b" ".join(words), 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(packed, pa.binary())],
-                                             names=["id", "n", "set", "packed"])
+                odd.append(parities(found))
+            bits = np.array(odd, dtype=np.int64).reshape(-1, len(PARITIES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(packed, pa.binary()), *map(pa.array, bits.T.copy())],
+                                             names=["id", "n", "set", "packed", *PARITIES])
 
-    rows = written(source.mapInArrow(sets, f"id {kind}, n long, set binary, packed binary")).withColumn("row", F.monotonically_increasing_id())
-    nodes = written(rows.filter("n > 0").groupBy("set").agg(F.min("row").alias("row"), F.min("id").alias("id"), F.first("n").alias("n")))
+    rows = written(source.mapInArrow(sets, f"id {kind}, n long, set binary, packed binary, {', '.join(f'{p} long' for p in PARITIES)}")).withColumn("row", F.monotonically_increasing_id())
+    nodes = written(rows.filter("n > 0").groupBy("set").agg(F.min("row").alias("row"), F.min("id").alias("id"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in PARITIES]))
     return rows, nodes
 
 
