@@ -13,7 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longview.llm.common import written
@@ -118,25 +118,33 @@ def near_groups(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: str =
     An empty table gives an empty result. The texts are read once and are not shuffled.
     """
     rows = written(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle).alias("fp")))
+    return rows.join(_labels(rows, bits), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def _labels(rows: DataFrame, bits: int, *more: str) -> DataFrame:
+    """(fp, component_id, ...) of each fingerprint of ``rows`` (id, fp); ``root`` is another column to ask for."""
     nodes = written(rows.groupBy("fp").agg(F.min("id").alias("id")))
     stars = components(links(nodes, bits)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     nodes = written(nodes.join(stars, "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root")))
     least = written(nodes.groupBy("root").agg(F.min("id").alias("component_id")))
-    labels = written(nodes.join(least, "root").select("fp", "component_id"))
-    return rows.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return written(nodes.join(least, "root").select("fp", "component_id", *more))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest doc_id.
+    """``docs`` with one row of each component: that of the smallest doc_id, null ids last.
 
-    Of rows that share that id one stays. Rows without an id stay, once per text, if their component has no id at all.
+    Of a component's rows with that id the longest text stays, then the smallest hash of the row; of rows that agree in
+    all columns one stays. An id that occurs in several components stands for a row in each of them. Null and empty texts
+    are a component like any other. All columns come back, whatever their names; an empty table gives no rows.
     """
-    groups = near_groups(docs, shingle, bits)
-    stay = written(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct())
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    alone = F.when(F.isnull("doc_id"), F.xxhash64("text"))
-    first = F.row_number().over(Window.partitionBy("doc_id", alone).orderBy(F.length("text").desc(), F.xxhash64("text")))
-    return kept.withColumn("__first", first).filter("__first = 1").select(*docs.columns)
+    whole = F.xxhash64(*docs.columns).alias("hash")
+    rows = written(docs.select(F.col("doc_id").alias("id"), fingerprint(F.col("text"), shingle).alias("fp"), F.length("text").alias("size"), whole))
+    first = F.min(F.struct(F.isnull("id").alias("none"), "id", (-F.coalesce("size", F.lit(0))).alias("size"), "hash")).alias("first")
+    stay = rows.join(_labels(rows, bits, "root"), "fp").groupBy("root").agg(first)
+    stay = written(stay.select(F.col("first.id").alias("stays"), F.col("first.hash").alias("same")).distinct())
+    both = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), whole)
+    kept = both.join(stay, F.col("id").eqNullSafe(F.col("stays")) & (F.col("hash") == F.col("same")), "left_semi")
+    return kept.dropDuplicates(["id", "hash"]).select("row.*")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -28,14 +28,18 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it; those it doesn't take go."""
-    key = F.xxhash64(*docs.columns)
-    number = F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy("__hash"))  # tells repeated rows apart
-    keyed = docs.withColumn("__hash", key).withColumn("__number", number)
-    taken = mixing.copies(keyed, words_in(F.col("text")), carry={"__h": F.col("__hash"), "__n": F.col("__number")})
-    taken = taken.filter("copies > 0").select(F.col("doc_id").alias("__id"), "__h", "__n", F.col("copies").alias("__copies"))
-    same = keyed["doc_id"].eqNullSafe(taken["__id"]) & (keyed["__hash"] == taken["__h"]) & (keyed["__number"] == taken["__n"])
-    return keyed.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    """Repeats each document as often as the mix takes it; those it doesn't take go.
+
+    Null texts are documents without words, a null source is a source, null ids take part. Rows that agree in all columns
+    are documents of their own. Columns of any name come back; an empty table gives no rows.
+    """
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", words_in(F.col("text")).alias("words"), F.xxhash64(*docs.columns).alias("hash"))
+    number = F.row_number().over(Window.partitionBy("doc_id", "hash").orderBy("hash"))  # tells repeated rows apart
+    keyed = keyed.withColumn("number", number)
+    taken = mixing.copies(keyed, F.col("words"), carry={"h": F.col("hash"), "n": F.col("number")})
+    taken = taken.filter("copies > 0").select(F.col("doc_id").alias("id"), "h", "n", "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")) & (F.col("number") == F.col("n"))
+    return keyed.join(taken, same).select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,8 @@ ODD = [(1, "a b\nc"), (2, "ab c"), (3, "abc "), (3, "abc "), (4, None), (5, ""),
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql_twin(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     res = con.execute(queries.SQL[name])
     names = [d[0] for d in res.description]
     df = queries.QUERIES[name](spark, SF)
@@ -116,3 +117,15 @@ def test_components_of_a_chain_and_a_hub(spark):
     chain = [(i, i + 1) for i in range(100, 130)] + [(7, i) for i in range(300, 360)] + [(5, 5)]
     got = {r.u: r.v for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert got == {i: 100 for i in range(101, 131)} | {i: 7 for i in range(300, 360)}
+
+
+def test_one_of_each_with_repeated_and_missing_ids(spark, frame):
+    a, b, c = ("alpha beta gamma delta " * 5, "one two three four five " * 5, "red green blue cyan " * 5)
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    # One id over several components: each of them keeps a row.
+    assert rows(simhash.one_of_each(frame([(1, a), (2, b), (3, c), (3, b)]))) == [(1, a), (2, b), (3, c)]
+    assert rows(simhash.one_of_each(frame([(1, a), (1, b), (1, a)]))) == [(1, a), (1, b)]
+    # A row without an id stays only where its component has none.
+    assert rows(simhash.one_of_each(frame([(1, a), (None, a), (None, b), (None, b)]))) == [(1, a), (None, b)]
+    got = simhash.one_of_each(frame([(4, a), (5, None), (6, ""), (7, " ")]).withColumnsRenamed({"size": "hash", "row": "root", "key": "first", "rank": "same", "n": "__id"}))
+    assert rows(got) == [(4, a), (5, None)] and {"hash", "root", "first", "same", "__id"} <= set(got.columns)

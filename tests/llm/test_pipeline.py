@@ -51,3 +51,11 @@ def test_stage_edges(spark, frame, name):
         # The null and the empty text are one component, equal texts another; the smallest id stays.
         assert sorted(str(r.doc_id) for r in got) == sorted(map(str, [*range(20), 30, 32, None]))
     assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_mixing_with_names_that_it_uses_itself(spark, frame):
+    docs = frame([(i % 7, f"w{i} " * (i + 1), "en", f"s{i % 3}") for i in range(30)] + [(3, "same", "en", "s0")] * 3)
+    docs = docs.withColumnsRenamed({"row": "doc", "key": "hash", "n": "words", "size": "number", "rank": "h", "bits": "__hash", "word": "__copy"})
+    out = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, SF)
+    assert out.columns == docs.columns and out.count() > 0
+    assert {tuple(r) for r in out.collect()} <= {tuple(r) for r in docs.collect()}
