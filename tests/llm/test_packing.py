@@ -1,5 +1,6 @@
 """Packing, sharding and mixing: the laws their results obey."""
 
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -54,6 +55,26 @@ def test_encoder_equals_the_tokenizer(text):
         assert np.frombuffer(e.ids(text), dtype="<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_merging_by_rank_equals_the_tokenizer(tmp_path):
+    assert packing.merges_by_rank(PATH)
+    fast, whole = packing.Encoder(PATH, True), Tokenizer.from_file(PATH)
+    rng = random.Random(2)
+    points = [c for c in [*range(1, 0x3000), *range(0xA000, 0xE000, 7), *range(0xF900, 0x20000, 11)] if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}b 1{chr(c)}2{chr(c)}{chr(c)} {chr(c)}  {chr(c)}.{chr(c)}" for c in points]
+    texts += ["".join(rng.choice("abeis t'nr.1 \n\té") for _ in range(rng.randint(1, 300))) for _ in range(2000)]
+    texts += [" " * 150_000 + "x" + " " * 150_000, "ab" * 60_000, "a" + "\n" * 99_999 + "b"]
+    for text, e in zip(texts, whole.encode_batch_fast(texts, add_special_tokens=False)):
+        assert np.frombuffer(fast.ids(text), dtype="<u4").tolist() == e.ids
+    file = json.loads(open(PATH, encoding="utf-8").read())
+    odd = tmp_path / "odd.json"
+    last = file["model"]["merges"].pop()  # its token can no longer be reached by merges, but its rank would still be met
+    odd.write_text(json.dumps(file), encoding="utf-8")
+    assert last and not packing.merges_by_rank(str(odd))
+    file["model"]["merges"] = file["model"]["merges"][::-1]
+    odd.write_text(json.dumps(file), encoding="utf-8")
+    assert not packing.merges_by_rank(str(odd))
+
+
 def test_packing_edges(frame):
     rows = [(1, None), (2, ""), (3, "word " * 6000), (4, "a b"), (4, "a b"), (None, "c d e")]
     parts = packing.pieces(frame(rows), PATH, limit=64, with_ids=True)
