@@ -106,6 +106,16 @@ def _plain(by: list[str], order: list[str]) -> Window:
     return (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(*order)
 
 
+def _to_end(by: list[str], place: str) -> Window:
+    """The frame from a row to the end of its group, for rows numbered by ``place``: take ``last`` in it for the next.
+
+    It runs from the end, where the state grows by a row at a time; Spark works a frame that ends with the group out anew
+    for each row, which takes the square of the rows.
+    """
+    keys = by or [F.lit(0)]
+    return Window.partitionBy(*keys).orderBy(F.col(place).desc()).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def _per_slice(df: DataFrame, by: list[str], aggs: list[Column], carried: dict[str, Column]) -> DataFrame:
     """One row per (group, slice) with the state arriving from earlier slices."""
     w = Window.partitionBy(*by).orderBy(SLICE) if by else Window.partitionBy(F.lit(0)).orderBy(SLICE)
@@ -257,7 +267,7 @@ def interpolate(df: DataFrame, y: str, by: list[str], order: list[str], out: str
     known = F.when(F.col(y).isNotNull(), F.struct(F.col("__i").alias("i"), F.col(y).cast("double").alias("v")))
     local = ((slices.assign(df, order[0]) if slices.bounds else df).withColumn("__i", F.row_number().over(w).cast("long"))
              .withColumn("__a", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-             .withColumn("__b", F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))))
+             .withColumn("__b", F.last(known, True).over(_to_end([*by, SLICE] if slices.bounds else by, "__i"))))
     i, a, b = F.col("__i"), F.col("__a"), F.col("__b")
     if slices.bounds:
         group = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(SLICE)

@@ -47,6 +47,19 @@ def test_operators(ev, rows_per_slice):
         assert differences(ordered.fill_limited(ev, "v", by, order, n - 1, "out", s).withColumn("want", F.last("v", True).over(last))) == 0
 
 
+@pytest.mark.parametrize("by", [["g"], []])
+@pytest.mark.parametrize("least", [1, 6])
+def test_no_frame_is_worked_out_anew_for_each_row(spark, by, least):
+    """A frame from each row to the end of its group takes the square of the rows."""
+    rows = [(i % 2, None if i % 9 == 0 else i // 3, i, None if i % 5 else float(i % 11)) for i in range(240)]
+    d = spark.createDataFrame(rows, "g int, t int, i int, y double")
+    s = ordered.plan_slices(d, "t", by, least=least)
+    assert bool(s.bounds) == (least > 1)
+    for found in (ordered.interpolate(d, "y", by, ["t", "i"], "out", s),):
+        plan = found._jdf.queryExecution().analyzed().toString().lower()
+        assert "windowframe" in plan and "currentrow$(), unboundedfollowing" not in plan
+
+
 def test_halo_with_ties_nulls_and_no_keys(spark):
     rows = [(None if i % 7 == 0 else i // 3, i, None if i % 4 == 1 else float(i % 11)) for i in range(200)]
     d = spark.createDataFrame(rows, "t int, i int, y double")
