@@ -195,16 +195,17 @@ def fill_backward(df: DataFrame, y: str, by: list[str], order: list[str], out: s
     """The next known ``y`` at or after each row of the group."""
     slices = plan_slices(df, order[0], by) if slices is None else slices
     if not slices.bounds:
-        w = _plain(by, order).rowsBetween(0, Window.unboundedFollowing)
-        return df.withColumn(out, F.first(y, True).over(w))
+        placed = df.withColumn("__i", F.row_number().over(_plain(by, order)))
+        return placed.withColumn(out, F.last(y, True).over(_to_end(by, "__i"))).drop("__i")
     cut = slices.assign(df, order[0])
     known = F.min_by(F.when(F.col(y).isNotNull(), F.struct(y)),
                      F.when(F.col(y).isNotNull(), F.struct(*order))).alias("__known")
     carry = _per_slice(cut, by, [known], {"__next": ("first(__known, true)", _AFTER)})
-    w = _window(by, order).rowsBetween(0, Window.unboundedFollowing)
-    both = attach(cut.withColumn(out, F.first(y, True).over(w)), [*by, SLICE], carry, ["__next"], slices.summary_rows)
+    placed = cut.withColumn("__i", F.row_number().over(_window(by, order)))
+    local = placed.withColumn(out, F.last(y, True).over(_to_end([*by, SLICE], "__i")))
+    both = attach(local, [*by, SLICE], carry, ["__next"], slices.summary_rows)
     return (both.withColumn(out, F.coalesce(F.col(out), F.col("__next").getField(y)))
-                .drop(SLICE, "__next"))
+                .drop(SLICE, "__i", "__next"))
 
 
 def with_halo(df: DataFrame, by: list[str], order: list[str], carried: list[str], rows: int, slices: Slices) -> DataFrame:

@@ -55,7 +55,14 @@ def test_no_frame_is_worked_out_anew_for_each_row(spark, by, least):
     d = spark.createDataFrame(rows, "g int, t int, i int, y double")
     s = ordered.plan_slices(d, "t", by, least=least)
     assert bool(s.bounds) == (least > 1)
-    for found in (ordered.interpolate(d, "y", by, ["t", "i"], "out", s),):
+    W = Window.partitionBy(*by or [F.lit(0)]).orderBy("t", "i")
+    want = F.first("y", True).over(W.rowsBetween(0, Window.unboundedFollowing))
+    filled = ordered.fill_backward(d, "y", by, ["t", "i"], "out", s)
+    assert filled.columns == [*d.columns, "out"]
+    assert filled.count() == 240 and differences(filled.withColumn("want", want)) == 0
+    inside = ordered.fill_backward(d.withColumn("same", F.col("y")), "same", by, ["t", "i"], "same", s)
+    assert differences(inside.withColumnRenamed("same", "out").withColumn("want", want)) == 0
+    for found in (filled, ordered.interpolate(d, "y", by, ["t", "i"], "out", s)):
         plan = found._jdf.queryExecution().analyzed().toString().lower()
         assert "windowframe" in plan and "currentrow$(), unboundedfollowing" not in plan
 
