@@ -150,3 +150,16 @@ def test_market_of_area(spark, rows):
 def test_reference_efficiency_without_consumption(spark):
     d = spark.createDataFrame([(1, 2010, "HT", 0.0, 0.0), (1, 2009, "HT", 5.0, 5.0)], "div int, year int, use string, energy double, service double")
     assert [r.ref_eff for r in devices.reference_efficiency(d, ["use"], 2009).collect()] == [1.0]
+
+
+def test_social_cost_reads_the_facts_once(spark, monkeypatch):
+    """All four inputs of the query come from one pass over the joined facts."""
+    from tests.conftest import SF
+    from workload import q_domain
+    from workload.registry import QUERIES
+
+    reads, facts = [], q_domain.facts
+    monkeypatch.setattr(q_domain, "facts", lambda *a: reads.append(a[2:]) or facts(*a))
+    found = QUERIES["d33_social_cost"](spark, SF)
+    assert len(reads) == 1
+    assert {r[0] for r in found.select("cost_type").distinct().collect()} == {"System cost", "System cost + health"}

@@ -48,16 +48,18 @@ T = {
     "cap": "SELECT tech, status AS vintage, brand AS region, year, sum(a) / 1e6 AS mw FROM f GROUP BY 1, 2, 3, 4",
     "rmap": f"SELECT DISTINCT brand AS rs, concat('p', {BRAND_NO.replace('p_brand', 'brand')} % 5) AS r FROM f WHERE {BRAND_NO.replace('p_brand', 'brand')} < 15",
     "hours": "SELECT DISTINCT concat('h', month % 4 + 1) AS timeslice, 2190 + month % 4 AS hours FROM f",
+    "h": "SELECT flag AS model, status AS cr, tech AS e, segment AS rb, year, sum(a) * 1e3 AS dmg, sum(b) AS lives, sum(a) AS em FROM f WHERE year NOT IN (1997, 1999) AND NOT (tech = 'PROMO' AND segment = 'BUILDING' AND year < 1998) GROUP BY 1, 2, 3, 4, 5",
 }
 # Names of the pipelines' own columns, which SQL texts above leave plain.
-RENAME = {"cost": costs.COST, "usd": "$", "mwh": "MWh", "mwh_uncurt": "MWh uncurt", "mwh_load": "MWh load", "mw": "MW"}
+RENAME = {"cost": costs.COST, "usd": "$", "mwh": "MWh", "mwh_uncurt": "MWh uncurt", "mwh_load": "MWh load", "mw": "MW",
+          "dmg": operation.DAMAGE, "lives": operation.LIVES, "em": operation.TONNES}
 DUCK = {"sc": "cost", "vs": "usd"}
 
 
 NEED = {"sc": "tech segment year", "types": "tech", "crf": "year", "pvf_cap": "year", "pvf_onm": "year",
         "q": "tech status segment month year", "p": "tech status flag segment month year",
         "vs": "tech status segment year flag month", "gen": "tech status segment year", "uncurt": "tech status segment year",
-        "load": "segment year", "cap": "tech status brand year", "rmap": "brand", "hours": "month"}
+        "load": "segment year", "cap": "tech status brand year", "rmap": "brand", "hours": "month", "h": "flag status tech segment year"}
 
 
 def _sums():
@@ -628,18 +630,11 @@ ff AS (SELECT gr.*, last_value(dmg / {DEFL} * 1e-9 IGNORE NULLS) OVER w AS d, la
 one AS (SELECT model, cr, e, year, coalesce(sum(t), 0) AS t, coalesce(sum(d), 0) AS d, coalesce(sum(l), 0) AS l, coalesce(sum(dd), 0) AS dd FROM ff GROUP BY 1, 2, 3, 4)"""
 
 
-def _health(spark, sf):
-    f = facts(spark, sf, "flag", "status", "tech", "segment", "year", "month", "a", "b").filter("year NOT IN (1997, 1999) AND NOT (tech = 'PROMO' AND segment = 'BUILDING' AND year < 1998)")
-    h = f.groupBy(F.col("flag").alias("model"), F.col("status").alias("cr"), F.col("tech").alias("e"), F.col("segment").alias("rb"), "year").agg(
-        (F.sum("a") * 1e3).alias(operation.DAMAGE), F.sum("b").alias(operation.LIVES), F.sum("a").alias(operation.TONNES))
-    return operation.health_damage(materialise(spark, h))
-
-
 @query("d32_health_damage", f"""WITH {HEALTH}
 SELECT model, cr, e, year, {r('t', 5)} AS "Emissions (thousand tonnes)", {r('d', 6)} AS "Health damages (billion $)", {r('l', 2)} AS "Health damages (lives)", {r('dd', 6)} AS "Discounted health damages (billion $)",
 {r('sum(d) OVER w', 6)} AS "Total health damages (billion $)", {r('sum(l) OVER w', 2)} AS "Total health damages (lives)", {r('sum(dd) OVER w', 6)} AS "Total discounted health damages (billion $)" FROM one WINDOW w AS (PARTITION BY model, cr, year)""")
 def _(spark, sf):
-    d = _health(spark, sf)
+    d = operation.health_damage(materialise(spark, inputs(spark, sf, "h")))
     d = rounded(d, 6, *[c for c in d.columns if "billion" in c])
     return rounded(rounded(d, 2, *[c for c in d.columns if "lives" in c]), 5, operation.TONNES)
 
@@ -653,8 +648,9 @@ bo AS (SELECT coalesce(sy.year, he.year) AS year, model, cr, q, sy.c AS sc, sy.d
 SELECT year, model, cr, q, t.cost_type, {r("CASE t.k WHEN 1 THEN sc ELSE hc END")} AS "Cost (Bil $)", {r("CASE t.k WHEN 1 THEN sdc ELSE hdc END")} AS "Discounted Cost (Bil $)",
 {r("CASE t.k WHEN 1 THEN sc ELSE hc END * 1e9 / q", 1)} AS "Average cost ($/MWh)", {r("CASE t.k WHEN 1 THEN sdc ELSE hdc END * 1e9 / q", 1)} AS "Discounted average cost ($/MWh)" FROM bo CROSS JOIN (VALUES (1, 'System cost'), (2, 'System cost + health')) t(k, cost_type)""").replace(")\n,", "),\n"))
 def _(spark, sf):
-    system = costs.average_price_national(_annual(spark, sf, shift_capital=True), inputs(spark, sf, "q"))
-    d = operation.social_cost(system, _health(spark, sf))
+    sc, types, q, h = inputs(spark, sf, "sc", "types", "q", "h")
+    system = costs.average_price_national(costs.annualized_cost(sc, types, 5, 8, shift_capital=True), q)
+    d = operation.social_cost(system, operation.health_damage(h))
     return rounded(rounded(d, 4, costs.COST, costs.DISCOUNTED), 1, "Average cost ($/MWh)", "Discounted average cost ($/MWh)")
 
 
