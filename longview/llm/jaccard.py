@@ -9,8 +9,9 @@ shingle meet, so that each of them counts twice; the cheaper way is taken. What
 
 Equal sets are one node. Members of a key are compared with a few hubs of the key, then with many more and so on, and
 only across components, so a group of near copies costs about its members, and no pair of an unconnected group is left
-out. Sizes and parity bits, which bound the difference of two sets from below, rule most other pairs out before their
-texts are fetched.
+out. Of keys that the same few sets share, one is kept. Sizes and parity bits, which bound the difference of two sets
+from below, rule most other pairs out before their texts are fetched: some bits a set within the join, then as many as
+the set has shingles.
 """
 
 from __future__ import annotations
@@ -42,7 +43,6 @@ CACHED_WORDS = 500_000
 
 _GOLD, _OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _ALL = 2**64 - 1
-_MANY = np.uint32(0xFFFFFFFF)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -81,12 +81,27 @@ class Shingles:
 
 
 def parities(found: np.ndarray) -> np.ndarray:
-    """The parity bits of a set. Two sets differ in at least as many shingles as bits."""
-    bits = 64 * len(PARITIES)
+    """Parity bits of a set, at least as many as it has shingles. Two sets differ in at least as many shingles as bits.
+
+    Their number is a power of two; bits laid on each other by exclusive or are those of a smaller number.
+    """
+    bits = max(64 * len(PARITIES), 1 << max(len(found) - 1, 0).bit_length())
     odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def folded(bits: np.ndarray, longs: int = len(PARITIES)) -> np.ndarray:
+    """Parity bits in as many long numbers."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, longs), axis=0)
+
+
+def apart(a: bytes, b: bytes) -> tuple[int, int]:
+    """How many shingles two sets differ in at least, and how many they have together, by their sketches (size and parities)."""
+    a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    longs = min(len(a), len(b)) - 1
+    return int(np.bitwise_count(folded(a[1:], longs) ^ folded(b[1:], longs)).sum()), int(a[0] + b[0])
+
+
 class Plan:
     """Bands of set sizes, their segments, and how many of these a set of some size needs."""
 
@@ -150,30 +165,61 @@ def keys(shingles: np.ndarray, band: int, segments: int, differ: int, slack: int
     return np.concatenate([out[cold], less]), int((cold & (size == 1)).sum())
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones: small numbers leave runs of zeros, which compress."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _numbers(raw: bytes, n: int, width: int) -> np.ndarray:
+    """The numbers of ``_planes``."""
+    return np.frombuffer(raw, np.uint8).reshape(width, n).T.copy().view(f"<u{width}").ravel()
+
+
+def _entries(short: np.ndarray, offset: np.ndarray, base: int) -> bytes:
+    """Ascending short keys, by their steps, with their members less ``base``."""
+    return np.array([base, len(short)], "<i8").tobytes() + _planes(np.diff(short, prepend=np.uint32(0))) + _planes(offset)
+
+
+def _read(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Short keys and members of ``_entries``; -1 where an entry stands for several members."""
+    base, n = np.frombuffer(raw, "<i8", 2).tolist()
+    at = 16 + 4 * n
+    offset = _numbers(raw[at:], n, (len(raw) - at) // n)
+    many = offset == np.iinfo(offset.dtype).max
+    return np.cumsum(_numbers(raw[16:at], n, 4), dtype=np.uint32), np.where(many, -1, base + offset.astype(np.int64))
+
+
+def _through(key: np.ndarray, member: np.ndarray) -> tuple[int, bytes]:
+    """A group of its own, below 0, for rows that only pass."""
+    return -1 - int(member.min()), key.astype("<i8").tobytes() + member.astype("<i8").tobytes()
+
+
+def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    bucket, entries = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(entries, pa.binary())], names=["bucket", "entries"])
+
+
 def _blocks(parts: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, entries, key, member) of arrays of keys and members.
+    """Rows (bucket, entries) of arrays of keys and members.
 
-    Keys go to their bucket, eight bytes an entry. A key that several members of a block share is known to be repeated:
-    its members come out at once, and the bucket gets one entry that stands for them, however many they are.
+    Keys go to their bucket, some five bytes an entry. A key that several members of a block share is known to be
+    repeated: its members pass as they are, and the bucket gets one entry that stands for them, however many they are.
     """
     key, member = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((member, key))
+    key = _short(key, buckets)
+    order = np.argsort(key)
     key, member = key[order], member[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    many = np.repeat(np.diff(np.r_[first, len(key)]) > 1, np.diff(np.r_[first, len(key)]))
-    base = int(member.min())
-    offset = np.where(many, _MANY, (member - base).astype(np.uint32))[first]
-    bucket, short = (key[first] >> np.uint64(32)).astype(np.int64) % buckets, key[first].astype(np.uint32)
-    order = np.argsort(bucket, kind="stable")
-    bucket, short, offset = bucket[order], short[order], offset[order]
+    times = np.diff(np.r_[first, len(key)])
+    base, span = int(member.min()), int(member.max()) - int(member.min())
+    kind = next(t for t in (np.uint16, np.uint32, np.uint64) if span < np.iinfo(t).max)
+    offset = np.where(times > 1, np.iinfo(kind).max, (member[first] - base).astype(kind)).astype(kind)
+    bucket, short = key[first] >> 32, key[first].astype(np.uint32)
     cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    entries = [np.int64(base).tobytes() + short[a:b].tobytes() + offset[a:b].tobytes() for a, b in zip(cut, np.r_[cut[1:], len(bucket)])]
-    none = lambda n, t: pa.nulls(n, t)
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(entries, pa.binary()), none(len(cut), pa.int64()), none(len(cut), pa.int64())],
-                                     names=["bucket", "entries", "key", "member"])
+    yield _batch([(int(bucket[a]), _entries(short[a:b], offset[a:b], base)) for a, b in zip(cut, np.r_[cut[1:], len(bucket)])])
+    many = np.repeat(times > 1, times)
     if many.any():
-        yield pa.RecordBatch.from_arrays([none(int(many.sum()), pa.int64()), none(int(many.sum()), pa.binary()), pa.array(_short(key[many], buckets)), pa.array(member[many])],
-                                         names=["bucket", "entries", "key", "member"])
+        yield _batch([_through(key[many], member[many])])
 
 
 def _short(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -182,15 +228,12 @@ def _short(key: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _met(table: pa.Table) -> pa.Table:
-    """(key, member) of the repeated keys of one bucket."""
-    bucket, short, member = table.column("bucket")[0].as_py(), [], []
-    for raw in table.column("entries"):
-        raw = raw.as_py()
-        n = (len(raw) - 8) // 8
-        base, offset = np.frombuffer(raw, "<i8", 1)[0], np.frombuffer(raw, "<u4", n, 8 + 4 * n)
-        short.append(np.frombuffer(raw, "<u4", n, 8))
-        member.append(np.where(offset == _MANY, -1, base + offset.astype(np.int64)))
-    short, member = np.concatenate(short), np.concatenate(member)
+    """(key, member) of the repeated keys of one bucket, or of the rows that only pass."""
+    bucket, rows = table.column("bucket")[0].as_py(), table.column("entries")
+    if bucket < 0:
+        key, member = np.concatenate([np.frombuffer(raw.as_py(), "<i8").reshape(2, -1) for raw in rows], axis=1)
+        return pa.table({"key": key, "member": member})
+    short, member = (np.concatenate(x) for x in zip(*[_read(raw.as_py()) for raw in rows]))
     order = np.argsort(short, kind="stable")
     short, member = short[order], member[order]
     same = short[1:] == short[:-1]
@@ -199,16 +242,21 @@ def _met(table: pa.Table) -> pa.Table:
 
 
 def _repeated(blocks: DataFrame) -> DataFrame:
-    """(key, member) for each key that at least two members have; a member is 2 * row + band."""
-    blocks = written(blocks)
-    alone = blocks.filter("entries IS NOT NULL").select("bucket", "entries")
-    return alone.groupBy("bucket").applyInArrow(_met, "key long, member long").union(blocks.filter("member IS NOT NULL").select("key", "member"))
+    """(key, member) for each key that at least two members have, key -1 for failed ones; a member is 2 * row + band."""
+    return blocks.groupBy("bucket").applyInArrow(_met, "key long, member long")
 
 
-def _several(met: DataFrame) -> DataFrame:
-    """``met`` without keys that have fewer than two rows, with the number of rows of the key."""
-    counts = written(met.groupBy("key").agg(F.count("*").alias("sharing")).filter("sharing > 1"))
-    return met.join(counts, "key")
+def _different(met: DataFrame, hot: int, table: Tables) -> DataFrame:
+    """(key, member, row, sharing): ``met`` without keys of a single row, and one key of those that the same rows share.
+
+    Near copies share many keys, of which one leads to the same pairs as all. Hot keys are all kept, as their number
+    counts. Sets of rows are told by their number, least, greatest and 64 bits of all.
+    """
+    rows = met.withColumn("row", F.shiftright("member", 1))
+    groups = rows.groupBy("key").agg(F.count("*").alias("sharing"), F.min("row").alias("a"), F.max("row").alias("b"), F.bit_xor(F.xxhash64("row")).alias("all"))
+    groups = table(groups.filter("a < b"))
+    cold = groups.filter(F.col("sharing") <= hot).groupBy("sharing", "a", "b", "all").agg(F.min("key").alias("key")).select("key", "sharing")
+    return rows.join(table(cold.union(groups.filter(F.col("sharing") > hot).select("key", "sharing"))), "key")
 
 
 def narrowed(texts: DataFrame, rows: DataFrame, table: Tables) -> DataFrame:
@@ -260,33 +308,49 @@ class Join:
             if n:
                 yield from _blocks(((k, np.full(len(k), m)) for k, m in held), buckets)
             if failed:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(failed), pa.int64()), pa.nulls(len(failed), pa.binary()), pa.nulls(len(failed), pa.int64()), pa.array(failed)],
-                                                 names=["bucket", "entries", "key", "member"])
+                yield _batch([_through(np.full(len(failed), -1), np.array(failed))])
 
-        return rows.mapInArrow(block, "bucket long, entries binary, key long, member long")
+        return rows.mapInArrow(block, "bucket long, entries binary")
 
-    def candidates(self) -> DataFrame:
+    def candidates(self, table: Tables | None = None) -> DataFrame:
         """(key, row, n, probe, parities): rows of a key may be similar if one of them is to be looked up."""
+        table = table or Tables(self.sets.sparkSession)
         rows = self.sets.filter("n > 0").select("row", "set", "packed")
-        met = _repeated(self._blocks(rows, False))
-        met = met.withColumn("row", F.shiftright("member", 1)).join(self.nodes.select("row", "n", *PARITIES), "row")  # copies go
-        met = written(_several(written(met)))
+        met = _repeated(self._blocks(rows, False)).withColumn("row", F.shiftright("member", 1))
+        met = table(met.join(self.nodes.select("row"), "row", "left_semi").select("key", "member"))  # copies go
+        met = table(_different(met, self.hot, table))
         hot = F.col("sharing") > self.hot
-        load = met.filter(hot).groupBy("member").agg(F.count("*").alias("hot"), F.sum("sharing").alias("load"), F.first("n").alias("n"),
-                                                     F.collect_list("key").alias("keys")).filter(F.col("hot") > self.plan.slack)
-        load = written(load)  # keys: at most as many as the set has segments
+        load = met.filter(hot).groupBy("member", "row").agg(F.count("*").alias("hot"), F.sum("sharing").alias("load"), F.collect_list("key").alias("keys"))
+        load = table(load.filter(F.col("hot") > self.plan.slack).join(self.nodes.select("row", "n"), "row"))  # keys: at most as many as the set has segments
         dearer = (F.col("load") > F.col("n")) & (F.col("hot") <= self.plan.slack + F.col("n") / 18 + 1)
-        by_deletion = load.filter(dearer).select(F.shiftright("member", 1).alias("row"), F.col("member").bitwiseAND(1).alias("band"), "keys")
+        by_deletion = load.filter(dearer).select("row", F.col("member").bitwiseAND(1).alias("band"), "keys")
         if (by_deletion.agg(F.sum(F.size("keys"))).first()[0] or 0) <= SENT:
             by_deletion = F.broadcast(by_deletion)
         more = self.sets.select("row", "set", "packed").join(by_deletion, "row").select("row", "set", "packed", "band", "keys")
-        more = written(_repeated(self._blocks(more, True)))
-        failed = more.filter("key IS NULL").select("member")
-        whole = written(load.filter(~dearer).select("member").union(failed).distinct().withColumn("whole", F.lit(True)))
-        found = met.join(whole, "member", "left").select("key", "row", "n", (~hot | F.col("whole").isNotNull()).alias("probe"), *PARITIES)
-        near = more.filter("key IS NOT NULL").withColumn("row", F.shiftright("member", 1)).join(self.nodes.select("row", "n", *PARITIES), "row")
-        near = near.select((-1 - F.col("key")).alias("key"), "row", "n", F.lit(True).alias("probe"), *PARITIES).distinct()
-        return found.union(near)
+        more = table(_repeated(self._blocks(more, True)))
+        failed = more.filter("key = -1").select("member")
+        whole = table(load.filter(~dearer).select("member").union(failed).distinct().withColumn("whole", F.lit(True)))
+        found = met.filter(~hot).select("key", "row", F.lit(True).alias("probe"))
+        found = found.union(met.filter(hot).join(whole, "member", "left").select("key", "row", F.col("whole").isNotNull()))
+        near = more.filter("key <> -1").select((-1 - F.col("key")).alias("key"), F.shiftright("member", 1).alias("row"), F.lit(True).alias("probe")).distinct()
+        return found.union(near).join(self.nodes.select("row", "n", *PARITIES), "row").select("key", "row", "n", "probe", *PARITIES)
+
+    def together(self, pairs: DataFrame, values: DataFrame, table: Tables) -> DataFrame:
+        """(hub, row, a, b): the pairs with the value of the hub and that of the row."""
+        # Written first: either join may then split a hub that is in very many pairs.
+        half = table(pairs.join(values, "row").select("hub", "row", F.col("value").alias("b")))
+        return half.join(values.select(F.col("row").alias("hub"), F.col("value").alias("a")), "hub").select("hub", "row", "a", "b")
+
+    def plausible(self, pairs: DataFrame, texts: DataFrame, table: Tables) -> DataFrame:
+        """The pairs (hub, row) without those that their sketches rule out."""
+        percent = self.plan.percent
+
+        def check(batches):
+            for batch in batches:
+                fine = [(100 + percent) * differ <= (100 - percent) * total for differ, total in map(apart, *(c.to_pylist() for c in batch.columns[2:]))]
+                yield batch.select([0, 1]).filter(pa.array(fine, pa.bool_()))
+
+        return self.together(pairs, texts.select("row", F.col("sketch").alias("value")), table).mapInArrow(check, "hub long, row long")
 
     def verified(self, pairs: DataFrame, texts: DataFrame, table: Tables) -> DataFrame:
         """The pairs (hub, row) that are similar, by their whole sets."""
@@ -310,21 +374,20 @@ class Join:
                     fine.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield batch.select([0, 1]).filter(pa.array(fine, pa.bool_()))
 
-        texts = narrowed(texts, pairs.select("row").union(pairs.select("hub")), table)
-        # Written first: either join may then split a hub that is in very many pairs.
-        half = table(pairs.join(texts, "row").select("hub", "row", F.col("packed").alias("b")))
-        whole = half.join(texts.select(F.col("row").alias("hub"), F.col("packed").alias("a")), "hub").select("hub", "row", "a", "b")
-        return whole.mapInArrow(check, "hub long, row long")
+        texts = narrowed(texts.select("row", F.col("packed").alias("value")), pairs.select("row").union(pairs.select("hub")), table)
+        return self.together(pairs, texts, table).mapInArrow(check, "hub long, row long")
 
     def roots(self) -> DataFrame | None:
         """(row, root) of each node that shares a key with another; root is the first row of its component."""
-        table = Tables(self.sets.sparkSession)
-        open_ = table(self.candidates())
+        spark = self.sets.sparkSession
+        table, passing = Tables(spark), Tables(spark)
+        open_ = table(self.candidates(passing))
+        passing.drop()
         if open_.isEmpty():
             table.drop()
             return None
         placed = table(open_.select("row").distinct().withColumn("root", F.col("row")))
-        texts = written(narrowed(self.sets.select("row", "packed"), placed.select("row"), table))
+        texts = written(narrowed(self.sets.select("row", "packed", "sketch"), placed.select("row"), table))
         width = HUBS
         while True:
             now = open_.join(placed, "row")
@@ -341,7 +404,9 @@ class Join:
             members = open_.withColumnRenamed("key", "k")
             pairs = members.join(hubs, (F.col("k") == F.col("key")) & (F.col("root") != F.col("hub_root")) & fits)
             pairs = table(pairs.select(F.greatest("hub", "row").alias("row"), F.least("hub", "row").alias("hub")).distinct())
-            links = table(self.verified(pairs, texts, table))
+            passing = Tables(spark)
+            links = table(self.verified(passing(self.plausible(pairs, texts, passing)), texts, passing))
+            passing.drop()
             open_ = open_.join(hubs.select("key", F.col("hub").alias("row")), ["key", "row"], "left_anti").select("key", "row", "n", "probe", *PARITIES)
             width *= MORE
             if not links.isEmpty():
@@ -355,7 +420,7 @@ class Join:
 
 
 def shingle_sets(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(row, id, n, set, packed) of each row, and (set, row, id, n) of each different set with its first row."""
+    """(row, id, n, set, packed, sketch) of each row, and (set, row, id, n) of each different set with its first row."""
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
@@ -364,19 +429,21 @@ def shingle_sets(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
 
         shingles = Shingles(shingle)
         for batch in batches:
-            n, same, packed, odd = [], [], [], []
+            n, same, packed, odd, sketch = [], [], [], [], []
             for text in batch.column(1):
                 words = shingles.words(text.as_py())
                 found = shingles(words)
                 n.append(len(found))
                 same.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 packed.append(zlib.compress(b" ".join(words), 1))
-                odd.append(parities(found))
+                bits = parities(found)
+                odd.append(folded(bits))
+                sketch.append(len(found).to_bytes(8, "little") + bits.tobytes())
             bits = np.array(odd, dtype=np.int64).reshape(-1, len(PARITIES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(packed, pa.binary()), *map(pa.array, bits.T.copy())],
-                                             names=["id", "n", "set", "packed", *PARITIES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(packed, pa.binary()), pa.array(sketch, pa.binary()), *map(pa.array, bits.T.copy())],
+                                             names=["id", "n", "set", "packed", "sketch", *PARITIES])
 
-    rows = written(source.mapInArrow(sets, f"id {kind}, n long, set binary, packed binary, {', '.join(f'{p} long' for p in PARITIES)}")).withColumn("row", F.monotonically_increasing_id())
+    rows = written(source.mapInArrow(sets, f"id {kind}, n long, set binary, packed binary, sketch binary, {', '.join(f'{p} long' for p in PARITIES)}")).withColumn("row", F.monotonically_increasing_id())
     nodes = written(rows.filter("n > 0").groupBy("set").agg(F.min("row").alias("row"), F.min("id").alias("id"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in PARITIES]))
     return rows, nodes
 
@@ -391,7 +458,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, sla
     id take part and get the smallest id of their component (null if it has none). An empty table gives no rows;
     other columns are not looked at. Shingles are compared by 64-bit hashes and equal sets are told by 128 bits.
 
-    The texts are read once and kept packed; eight bytes for each key are shuffled, and packed texts only of sets that
+    The texts are read once and kept packed; some five bytes for each key are shuffled, and packed texts only of sets that
     share a key with another.
     """
     if not 50 <= percent <= 100:

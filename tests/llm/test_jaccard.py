@@ -4,6 +4,8 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +109,52 @@ def test_deletion_keys_meet_parts_that_differ_by_one():
     assert (len(np.intersect1d(x, y)) > 0) == (within and (at == at[0]).sum() > 1)
 
 
+def test_rows_that_share_many_keys_are_joined_by_one(spark, frame):
+    # Before, near copies came once for each key that they share, some tens of times here.
+    rng = random.Random(9)
+    words, rows = [f"u{i}" for i in range(900)], []
+    for _ in range(20):
+        rows += [(len(rows) + i, t) for i, t in enumerate(near_copies(rng, words, 3, 2))]
+    join = jaccard.Join(*jaccard.shingle_sets(frame(rows), 4), 4, 85, 4, 50)
+    groups = [tuple(r.rows) for r in join.candidates().groupBy("key").agg(F.sort_array(F.collect_list("row")).alias("rows")).collect()]
+    assert len(groups) == len(set(groups)) and all(len(g) > 1 for g in groups)
+    assert found(jaccard.jaccard_components(frame(rows))) == plain(rows)
+
+
+@pytest.mark.parametrize("step", [2, 2**20, 2**34])  # the last: rows of many partitions, cut to 32 bits before
+def test_blocks_keep_members_and_find_repeated_keys(step):
+    rng, buckets, want = np.random.default_rng(6), 3, {}
+    common = rng.integers(0, 2**63, 40).astype(np.uint64)
+    parts = []
+    for member in (7 + step * np.arange(30)).tolist():
+        k = np.unique(np.r_[rng.choice(common, 5, replace=False), rng.integers(0, 2**63, 50).astype(np.uint64)])
+        parts.append((k, np.full(len(k), member)))
+        for key in jaccard._short(k, buckets).tolist():
+            want.setdefault(key, set()).add(member)
+    batches = [b.select([0, 1]) for half in (parts[:15], parts[15:]) for b in jaccard._blocks(iter(half), buckets)]
+    table, got = pa.Table.from_batches(batches), {}
+    for bucket in set(table.column("bucket").to_pylist()):
+        met = jaccard._met(table.filter(pc.equal(table.column("bucket"), bucket)))
+        for key, member in zip(*(c.to_pylist() for c in met.columns)):
+            got.setdefault(key, []).append(member)
+    assert all(len(m) == len(set(m)) for m in got.values())
+    assert {k: set(m) for k, m in got.items()} == {k: m for k, m in want.items() if len(m) > 1}
+
+
+def test_sketches_never_rule_out_and_tell_long_sets_apart():
+    rng = np.random.default_rng(2)
+    sketch = lambda s: len(s).to_bytes(8, "little") + jaccard.parities(s).tobytes()
+    for n, m in [(1, 1), (5, 300), (256, 257), (1000, 1100), (3000, 20000)]:
+        for both in {0, n // 2, n * 9 // 10, n}:
+            pool = np.unique(rng.integers(0, 2**63, n + m).astype(np.uint64))
+            pool = rng.permutation(pool)
+            a, b = pool[:n], np.r_[pool[:both], pool[n:n + m - both]]
+            differ, total = jaccard.apart(sketch(a), sketch(b))
+            assert differ <= n + m - 2 * both and total == n + m
+    a, b = (np.unique(rng.integers(0, 2**63, 2000).astype(np.uint64)) for _ in range(2))
+    assert 185 * jaccard.apart(sketch(a), sketch(b))[0] > 15 * 4000  # 256 bits alone leave such a pair to the exact check
+
+
 def test_bands_and_segments():
     plan = jaccard.Plan(85)
     for n in [*range(1, 3000), 10**5, 10**7]:
